@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_batches
 
 SCHEMA = "n_tokens long, token_ids binary, decoded string"
-#: Longer chunks are encoded each time; so many chunks are remembered.
-REMEMBERED_BYTES, REMEMBERED = 64, 400_000
+#: Longer chunks and pre-tokens are encoded each time; of each kind up to twice so many are remembered.
+REMEMBERED_LENGTH, REMEMBERED = 64, 250_000
+#: Fragments of more bytes are merged through a heap.
+LONG_FRAGMENT = 64
 #: Fixed: the characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -37,6 +39,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Remembered:
+    """Values by key; the older half of them is forgotten when there are too many."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def __call__(self, key, make):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = make(key)
+            if len(key) <= REMEMBERED_LENGTH:
+                self.young[key] = value
+        return value
+
+    def aged(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+
+
 class Vocabulary:
     """A tokenizer file of the word-end kind: NFC, white space dropped, lower case, byte-level merges, a suffix on a word's last token."""
 
@@ -53,7 +76,7 @@ class Vocabulary:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split.replace("\\s", SPACE))
         self.inside = self.pairs_inside()
-        self.known: dict[bytes, bytes] = {}
+        self.chunks_known, self.pieces_known = Remembered(), Remembered()
 
     def pairs_inside(self) -> frozenset[str]:
         """The pairs of neighbouring bytes, as characters, that some token has; a boundary is forced at all others."""
@@ -69,10 +92,24 @@ class Vocabulary:
         return [piece[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def merged(self, parts: list[str]) -> list[str]:
-        """Merges neighbours, lowest rank first and leftmost among equals, through a heap and a linked list."""
+        """Merges neighbours, lowest rank first and leftmost among equals."""
+        rank, never = self.rank.get, len(self.rank)
+        if len(parts) > LONG_FRAGMENT:
+            return self.merged_long(parts)
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
+        return parts
+
+    def merged_long(self, parts: list[str]) -> list[str]:
+        """The same through a heap and a linked list, for fragments of any length."""
         n = len(parts)
-        if n < 2:
-            return parts
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -89,32 +126,36 @@ class Vocabulary:
                     heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
         return [p for p, kept in zip(parts, alive) if kept]
 
+    def encode_piece(self, piece: str) -> bytes:
+        """The packed ids of a pre-token."""
+        shown = piece if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])
+        *others, last = self.fragments(shown)
+        tokens = [t for fragment in others for t in self.merged(list(fragment))]
+        tokens += self.merged([*last[:-1], last[-1] + self.suffix])
+        ids = [i for t in tokens if (i := self.ids.get(t)) is not None]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_part(self, text: str) -> bytes:
+        """The packed ids of text without special tokens."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+        return b"".join([self.pieces_known(p, self.encode_piece) for p in self.pieces.findall(text)])
+
     def encode_chunk(self, chunk: bytes) -> bytes:
-        """The ids, as little-endian 32-bit integers, of text that has no ASCII white space."""
-        out: list[int] = []
+        """The packed ids of text that has no ASCII white space."""
         text = chunk.decode("utf-8", "replace")
-        for part in self.specials.split(text) if self.specials else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            normal = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for piece in self.pieces.findall(normal):
-                own = self.fragments("".join(self.alphabet[b] for b in piece.encode()))
-                for k, fragment in enumerate(own):
-                    parts = list(fragment)
-                    if k == len(own) - 1:
-                        parts[-1] += self.suffix
-                    out.extend(self.ids[t] for t in self.merged(parts) if t in self.ids)
-        packed = struct.pack(f"<{len(out)}I", *out)
-        if len(chunk) <= REMEMBERED_BYTES:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = packed
-        return packed
+        if self.specials and b"<" in chunk:
+            return b"".join([struct.pack("<I", self.special[p]) if p in self.special else self.encode_part(p) for p in self.specials.split(text)])
+        return self.encode_part(text)
 
     def encode(self, text: bytes) -> bytes:
-        known, encode_chunk = self.known.get, self.encode_chunk
-        return b"".join([known(c) or encode_chunk(c) for c in text.split()])
+        """The ids of a text as little-endian 32-bit integers."""
+        known, chunks, encode_chunk = self.chunks_known.young.get, self.chunks_known, self.encode_chunk
+        out = b"".join([known(c) or chunks(c, encode_chunk) for c in text.split()])
+        chunks.aged()
+        self.pieces_known.aged()
+        return out
 
     def decode(self, packed: bytes) -> str:
         """The tokens with a space between, as the file names no decoder; unknown ids are left out."""
