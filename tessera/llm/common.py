@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six ASCII characters; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that one vectorised step works on at most, unless a single document has more.
-WORDS_AT_ONCE = 600_000
+WORDS_AT_ONCE = 300_000
 #: Rows that an Arrow batch between the JVM and a Python worker has at most.
 ROWS_IN_BATCH = 1_000
 
@@ -84,19 +84,17 @@ def word_runs(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[list[b
         yield first, len(texts), words
 
 
-class WordHashes(dict):
-    """Word to XXH64, kept between batches; it starts anew beyond a million words."""
+def word_hashes(words: list[list[bytes]]) -> np.ndarray:
+    """The XXH64 of each word of all lists."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for own in words for w in own), np.uint64, sum(map(len, words)))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
 
-    def of(self, words: list[list[bytes]]) -> np.ndarray:
-        n = sum(map(len, words))
-        get = self.__getitem__
-        return np.fromiter((h for own in words for h in map(get, own)), np.uint64, n)
+def list_rows(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(length of each list, 0 for null; each field of all structs in the lists as one array)."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    structs = lists.flatten()
+    return sizes, {f.name: structs.field(f.name).to_numpy() for f in structs.type}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

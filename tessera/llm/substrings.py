@@ -14,19 +14,18 @@ copies nor passages with many surroundings are compared pair by pair.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHashes, WordHashes, as_bytes, map_batches, word_runs, written
+from .common import RangeHashes, as_bytes, list_rows, map_batches, word_hashes, word_runs, written
 
 #: Words of the group that anchors a window.
 GROUP = 8
 
-_hashes = WordHashes()
-
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     """For each full window of so many values the place of its smallest one, the first of equals."""
@@ -49,7 +48,7 @@ class Parsed:
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.ranges = RangeHashes(_hashes.of(words))
+        self.ranges = RangeHashes(word_hashes(words))
         self.n = int(self.ends[-1]) if len(words) else 0
 
     def blocks(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +87,13 @@ def window_rows(joined: DataFrame, window: int) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         batch = batch.filter(batch.column(2).is_valid())
-        listed = batch.column(2).to_pylist()
         for first, past, words in word_runs(as_bytes(batch.column(1))):
             parsed = Parsed(words)
-            row = np.repeat(np.arange(past - first), [len(x) for x in listed[first:past]])
-            own = [b for x in listed[first:past] for b in x]
-            anchor = np.array([b["anchor"] for b in own], np.int64)
-            lo, hi = np.array([b["first"] for b in own], np.int64), np.array([b["last"] for b in own], np.int64)
+            sizes, own = list_rows(batch.column(2).slice(first, past - first))
+            row = np.repeat(np.arange(past - first), sizes)
+            anchor, lo, hi = own["anchor"], own["first"].astype(np.int64), own["last"].astype(np.int64)
             count = hi - lo + 1
-            block = np.repeat(np.arange(len(own)), count)
+            block = np.repeat(np.arange(len(anchor)), count)
             at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + lo[block]
             start = parsed.starts[row[block]] + at
             hashes = parsed.ranges(start, start + window)
@@ -112,23 +109,20 @@ def cut_rows(joined: DataFrame, window: int) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         n_words, n_removed, kept, removed = [], [], [], []
-        for text, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+        sizes, own = list_rows(batch.column(2))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for row, text in enumerate(as_bytes(batch.column(1))):
             words = text.split() if text else []
-            united: list[dict] = []
-            for first, last in sorted((s["first"], s["last"]) for s in spans or []):
-                past = min(last + window, len(words))
-                if first >= past:
-                    continue
-                if united and first <= united[-1]["past"]:
-                    united[-1]["past"] = max(united[-1]["past"], past)
-                else:
-                    united.append({"first": first, "past": past})
+            lo, hi = own["first"][at[row] : at[row + 1]], own["last"][at[row] : at[row + 1]] + window
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, lo.clip(max=len(words)), 1)
+            np.add.at(edge, hi.clip(max=len(words)), -1)
+            left = np.cumsum(edge[:-1]) == 0
+            shift = np.diff(np.concatenate([[1], left.view(np.int8), [1]]))
             n_words.append(len(words))
-            n_removed.append(sum(s["past"] - s["first"] for s in united))
-            for s in reversed(united):
-                del words[s["first"] : s["past"]]
-            kept.append(b" ".join(words))
-            removed.append(united)
+            n_removed.append(len(words) - int(left.sum()))
+            kept.append(b" ".join(compress(words, left.tolist()) if len(lo) else words))
+            removed.append([{"first": a, "past": b} for a, b in zip(np.flatnonzero(shift == -1).tolist(), np.flatnonzero(shift == 1).tolist())])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, span_type)],
             names=["id", "n_words", "n_removed", "kept_text", "removed_spans"],
@@ -172,3 +166,15 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 def digest_query(docs: DataFrame) -> DataFrame:
     """The columns of the query."""
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos, w FROM w WHERE len(w) >= 50),
+keyed AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 49], ' ')) AS k FROM win),
+least AS (SELECT k, min(doc_id) AS first FROM keyed GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM keyed JOIN least USING (k), range(0, 50) r(j) WHERE doc_id > first),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+kept AS (SELECT word.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY word.pos) FILTER (WHERE gone.pos IS NULL), '') AS text FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.pos = gone.pos GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
