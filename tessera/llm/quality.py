@@ -173,6 +173,11 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_covered_percent: int
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= max_longest))
 
 
+def rules_query(docs: DataFrame) -> DataFrame:
+    """The columns of the query."""
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def kept_documents(docs: DataFrame, min_words: int = 20, max_covered_percent: int = 30, max_longest: int = 200, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns unchanged, filtered in one pass without a join."""
     at = docs.columns.index(text_col)
@@ -185,3 +190,21 @@ def kept_documents(docs: DataFrame, min_words: int = 20, max_covered_percent: in
             yield batch.take(part.column("id").filter(pa.array(good)))
 
     return map_batches(docs, kept_rows, docs.schema)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS pos, w FROM w WHERE len(w) >= 8),
+keyed AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 7], ' ')) AS k FROM win),
+twice AS (SELECT doc_id, pos, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
+long AS (SELECT doc_id, md5(array_to_string(w.w[pos:pos + 200], ' ')) AS k FROM twice JOIN w USING (doc_id) WHERE pos + 200 <= len(w.w)),
+longer AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, k FROM long GROUP BY doc_id, k HAVING count(*) > 1)),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, longer.doc_id IS NOT NULL AS long
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longer USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT * EXCLUDE (long), NOT base_failed AND NOT long AS kept FROM f
+"""
