@@ -77,7 +77,7 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
     lines = written(line_rows(rows.filter("id IS NOT NULL"), depth), "lines")
     often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     listed = lines.join(often, "leaf", "left_semi").groupBy("id").agg(F.collect_list("line").alias("listed"))
-    parsed = token_rows(rows.join(listed, "id", "left").select("id", "text", "listed"), depth)
+    parsed = token_rows(rows.join(listed.hint("merge"), "id", "left").select("id", "text", "listed"), depth)  # the same plan at every size
     parsed = written(parsed, "parsed")
 
     different = written(parsed.groupBy("leaf", "content").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "different")
@@ -108,7 +108,7 @@ def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first).withColumnRenamed("id", "__id")
-    out = docs.join(dropped, docs[id_col] == dropped["__id"], "left").drop("__id")
+    out = docs.join(dropped.hint("merge"), docs[id_col] == dropped["__id"], "left").drop("__id")
     split = F.split(F.col(text_col), "\n")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
     kept = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n"))
