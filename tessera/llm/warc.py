@@ -179,74 +179,83 @@ class Reader:
             raise ValueError(f"{(self.fields or {}).get('warc-record-id')} has no end")
 
 
-RECORD = "record_id string, kind string, digest string, refers_to string, origin string, segment int, total long, block binary"
+RECORD = "record_id string, kind string, digest string, refers_to string"
+KINDS = [pa.string()] * 4
 
 
-def archive_records(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD rows of the archives under path, in whatever store Spark reads.
+def archive_records(spark: SparkSession, path: str, segments: bool) -> DataFrame:
+    """The records of the archives under path, in whatever store Spark reads: either those cut into segments or all others.
 
+    Segments have RECORD, origin, segment, total and block; others have RECORD, payload and payload_digest.
     Spark's text reader streams a compressed file as one sequence of pieces between gaps, so that a worker holds
     one record, not a file.
     """
     small_batches(spark)
     pieces = spark.read.option("lineSep", GAP.decode()).text(path)
+    more = "origin string, segment int, total long, block binary" if segments else "payload binary, payload_digest string"
+    kinds = [*KINDS, *([pa.string(), pa.int32(), pa.int64(), pa.binary()] if segments else [pa.binary(), pa.string()])]
+
+    def rows(batch: pa.RecordBatch, reader: Reader) -> Iterator[tuple]:
+        for piece in batch.column(0).cast(pa.binary()).to_pylist():
+            for f, block in reader.read(piece):
+                told = f.get("warc-payload-digest")
+                own = (f["warc-record-id"], f["warc-type"], told and told.rpartition(":")[2], f.get("warc-refers-to"))
+                segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                if segments and segment:
+                    yield *own, f.get("warc-segment-origin-id", own[0]), int(segment), total and int(total), block
+                elif not segments and not segment:
+                    yield *own, *payload_of(own[1], block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            rows = []
-            for piece in batch.column(0).cast(pa.binary()).to_pylist():
-                for f, block in reader.read(piece):
-                    segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                    origin = f.get("warc-segment-origin-id", f["warc-record-id"])
-                    rows.append((f["warc-record-id"], f["warc-type"], f.get("warc-payload-digest"), f.get("warc-refers-to"), origin, segment and int(segment), total and int(total), block))
-            if rows:
-                kinds = [*[pa.string()] * 5, pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in RECORD.split(", ")])
+            if found := list(rows(batch, reader)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=[c.split()[0] for c in f"{RECORD}, {more}".split(", ")])
         reader.close()
 
-    return pieces.mapInArrow(run, RECORD)
+    return pieces.mapInArrow(run, f"{RECORD}, {more}")
 
 
-def reassembled(records: DataFrame) -> DataFrame:
-    """Whole records (record_id, kind, digest, refers_to, block): segments of one origin joined in order.
+def payload_of(kind: str | None, block: bytes | None) -> tuple[bytes | None, str | None]:
+    """(payload, its digest) of a whole response's block; none for other records and broken ones."""
+    head, gap, body = (block or b"").partition(GAP)
+    if kind != "response" or not gap:
+        return None, None
+    payload = dechunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head) else body
+    return payload, None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
-    Records without a segment number are passed on and not shuffled. A record whose segment numbers are not
-    1, 2, ... or whose length is not the total length has a null block. A group is one record's segments; a
-    segment that was stored twice counts once.
+
+def reassembled(parts: DataFrame) -> DataFrame:
+    """Whole records (RECORD, block) from segments: those of one origin joined in order.
+
+    A record whose segment numbers are not 1, 2, ... or whose length is not the total length has a null block.
+    A group is one record's segments; a segment that was stored twice counts once.
     """
-    whole = records.filter("segment IS NULL").select("record_id", "kind", "digest", "refers_to", "block")
-    parts = records.filter("segment IS NOT NULL").groupBy("origin").agg(
+    found = parts.groupBy("origin").agg(
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
         F.max("total").alias("total"),
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("kind", "digest", "refers_to")],
     )
-    block = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
+    found = found.withColumn("block", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"])))
     right = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    parts = parts.withColumn("block", block)
     checked = F.when(right & F.col("kind").isNotNull() & (F.octet_length("block") == F.col("total")), F.col("block"))
-    return whole.unionByName(parts.select(F.col("origin").alias("record_id"), "kind", "digest", "refers_to", checked.alias("block")))
+    return found.select(F.col("origin").alias("record_id"), "kind", "digest", "refers_to", checked.alias("block"))
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, kind, digest, refers_to, payload, payload_digest) of the archives under path.
 
     payload is the decoded body of a response, null for a revisit or a broken record; payload_digest is taken
-    from it; digest is the one that the record tells.
+    from it; digest is the one that the record tells. Only segments are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = []
-            for kind, block in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
-                head, gap, body = (block or b"").partition(GAP)
-                framed = re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head)
-                payloads.append((dechunked(body) if framed else body) if kind == "response" and gap else None)
-            digests = [None if p is None else base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads]
-            told = [None if d is None else d.rpartition(":")[2] for d in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string()), batch.column(3), pa.array(payloads, pa.binary()), pa.array(digests, pa.string())], names=["record_id", "kind", "digest", "refers_to", "payload", "payload_digest"])
-
-    return reassembled(archive_records(spark, path)).mapInArrow(run, "record_id string, kind string, digest string, refers_to string, payload binary, payload_digest string")
+            payloads, digests = zip(*map(payload_of, batch.column(1).to_pylist(), batch.column(4).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payloads, pa.binary()), pa.array(digests, pa.string())], names=[*batch.schema.names[:4], "payload", "payload_digest"])
+
+    joined = reassembled(archive_records(spark, path, True)).mapInArrow(run, f"{RECORD}, payload binary, payload_digest string")
+    return archive_records(spark, path, False).unionByName(joined)
 
 
 def page_number(record_id: Column) -> Column:

@@ -63,7 +63,7 @@ def test_payloads_and_files(spark, tmp_path):
 def test_broken_segments_have_no_payload(spark, tmp_path):
     path = f"{tmp_path}/warc"
     warc.write_archives(spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "y" * 5000)], COLUMNS), path, segment_bytes=1000)
-    records = warc.archive_records(spark, path)
+    records = warc.archive_records(spark, path, True)
     lost = records.filter("NOT (segment = 3 AND record_id LIKE '%page:1:%')")
     blocks = {r.record_id.split(":")[2]: r.block for r in warc.reassembled(lost).collect()}
     assert blocks["1"] is None and blocks["2"] is not None
