@@ -2,13 +2,13 @@
 
 A byte pair that occurs inside no token of the vocabulary can never be joined by a merge, so the text can be
 cut there with certainty. ASCII white space is such a place on both sides: documents fall into chunks, chunks
-into pre-tokens, pre-tokens into fragments at the remaining forced boundaries. Each fragment is encoded by
-itself and the ids are concatenated; chunks recur, so their ids are remembered.
+into pre-tokens, pre-tokens into fragments at the remaining forced boundaries. Each fragment is merged by
+itself (only a word's last one with the suffix) and the ids are concatenated; chunks and
+pre-tokens recur, so the ids of recent ones are remembered.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import struct
@@ -20,14 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.models import BPE
 
 from .common import as_bytes, map_batches
 
 SCHEMA = "n_tokens long, token_ids binary, decoded string"
 #: Longer chunks and pre-tokens are encoded each time; of each kind up to twice so many are remembered.
-REMEMBERED_LENGTH, REMEMBERED = 64, 250_000
-#: Fragments of more bytes are merged through a heap.
-LONG_FRAGMENT = 64
+REMEMBERED_LENGTH, REMEMBERED = 64, 80_000
 #: Fixed: the characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -68,7 +67,9 @@ class Vocabulary:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = dict(model["vocab"])
-        self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m) for m in model["merges"]]
+        self.inner = BPE(self.ids, merges, cache_capacity=0)
+        self.last = BPE(self.ids, merges, cache_capacity=0, end_of_word_suffix=self.suffix) if self.suffix else self.inner
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.alphabet = byte_alphabet()
@@ -91,48 +92,11 @@ class Vocabulary:
         cuts = [0, *(i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.inside), len(piece)]
         return [piece[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merges neighbours, lowest rank first and leftmost among equals."""
-        rank, never = self.rank.get, len(self.rank)
-        if len(parts) > LONG_FRAGMENT:
-            return self.merged_long(parts)
-        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < never:
-            i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), never)
-        return parts
-
-    def merged_long(self, parts: list[str]) -> list[str]:
-        """The same through a heap and a linked list, for fragments of any length."""
-        n = len(parts)
-        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (r := self.rank.get((parts[k], parts[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
-        return [p for p, kept in zip(parts, alive) if kept]
-
     def encode_piece(self, piece: str) -> bytes:
         """The packed ids of a pre-token."""
         shown = piece if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])
         *others, last = self.fragments(shown)
-        tokens = [t for fragment in others for t in self.merged(list(fragment))]
-        tokens += self.merged([*last[:-1], last[-1] + self.suffix])
-        ids = [i for t in tokens if (i := self.ids.get(t)) is not None]
+        ids = [t.id for fragment in others for t in self.inner.tokenize(fragment)] + [t.id for t in self.last.tokenize(last)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_part(self, text: str) -> bytes:
@@ -160,7 +124,11 @@ class Vocabulary:
     def decode(self, packed: bytes) -> str:
         """The tokens with a space between, as the file names no decoder; unknown ids are left out."""
         names = self.names
-        return " ".join([names[i] for i in np.frombuffer(packed, "<u4").tolist() if i in names])
+        ids = np.frombuffer(packed, "<u4").tolist()
+        try:
+            return " ".join([names[i] for i in ids])
+        except KeyError:
+            return " ".join([names[i] for i in ids if i in names])
 
 
 _loaded: dict[int, Vocabulary] = {}
