@@ -22,14 +22,10 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, repeat_spans array<struct<first:int,past:int>>"
 
-_numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-
-
 def numbered(words: list[list[bytes]]) -> np.ndarray:
     """Each word's number, the same for equal words of this call."""
-    if len(_numbers) > 1_000_000:
-        _numbers.clear()
-    get = _numbers.__getitem__
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+    get = numbers.__getitem__
     return np.fromiter((i for own in words for i in map(get, own)), np.int64, sum(map(len, words)))
 
 
