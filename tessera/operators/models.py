@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .metrics import brier, ranking
 from .preprocess import Preprocessor
@@ -87,6 +88,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
     own = blocks(queries.filter(F.col(vector).isNotNull()), key, vector, "q")
     other = blocks(base.filter(F.col(vector).isNotNull()), key, vector, "b")
 
+    own_type = to_arrow_type(queries.schema[key].dataType)
+
     def best(batches):
         for batch in batches:
             for q_key, q_vector, b_key, b_vector in zip(*(batch.column(c).to_pylist() for c in ("q_key", "q_vector", "b_key", "b_vector"))):
@@ -100,7 +103,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
                     at = np.lexsort((keys, far))[:k]
                     rows += [(q_key[i], b_key[j], float(far[j])) for j in at if np.isfinite(far[j])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query", "neighbour", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (own_type, own_type, pa.float64()))], names=["query", "neighbour", "distance"])
 
     kind = queries.schema[key].dataType.simpleString()
     pairs = own.crossJoin(other)  # of blocks
