@@ -157,6 +157,7 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     windows = window_rows(rows.join(listed, "id", "left").select("id", "text", "listed"), window)
     windows = written(windows, "windows")
     earlier = windows.groupBy("anchor", "window").agg(F.min("id").alias("owner"), F.max("id").alias("highest")).filter("highest > owner").drop("highest")
+    earlier = written(earlier, "earlier")  # both sides of the join are then shuffled for it, and Spark can split hot windows
     checked = windows.join(earlier, ["anchor", "window"]).filter("id > owner").select("id", F.col("at").alias("first"), F.col("at").alias("last"))
 
     spans = factors.unionByName(checked).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
