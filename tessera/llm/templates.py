@@ -86,6 +86,7 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
     kept = places.join(constants, ["leaf", "at", "token"]).groupBy("leaf", "content").agg(F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.count(F.lit(1)).alias("constants"))
     sized = kept.join(different.select("leaf", "content", F.size("tokens").alias("size")), ["leaf", "content"])
     sized = sized.filter(F.col("constants") >= F.col("size") * constant_share).select("leaf", "content", "template")
+    sized = written(sized, "sized")  # both sides of the join are then shuffled for it, and Spark can split hot lines
 
     told = written(parsed.select("id", "line", "leaf", "content").join(sized, ["leaf", "content"]).select("id", "line", "leaf", "template"), "told")
     spread = told.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
