@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -123,7 +125,10 @@ def train_test_pair(spark: SparkSession, folder: str, split: str = "random", tar
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the session's checkpoint folder, or a temporary one where none is set; cuts the lineage."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, base, True)
     path = f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
