@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_dir
     if set_dir := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="tessera-")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, _own_dir, True)
     return _own_dir
 
 
