@@ -11,16 +11,22 @@ from ..operators.mapping import map_evidence, reconcile
 from ..sources import schemas, tables
 
 
-def evidence_table(diagnoses: DataFrame, problems: DataFrame, prescriptions: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Cleaned sources in the common schema; undated diagnoses get the admission date of their spell."""
+def evidence_table(diagnoses: DataFrame, problems: DataFrame, prescriptions: DataFrame, episodes: DataFrame, exclude_index_spell: bool = False) -> DataFrame:
+    """Cleaned sources in the common schema; undated diagnoses get the admission date of their spell.
+
+    Such dates are those of an index admission itself, so that its codes count as history; exclude_index_spell
+    leaves them out.
+    """
     own = {name: standardised(df, name, schemas.SOURCE_COLUMNS[name]) for name, df in (("diagnoses", diagnoses), ("problems", problems), ("prescriptions", prescriptions))}
     own["diagnoses"] = with_imputed_dates(own["diagnoses"], episodes, ["subject", "spell_id"], "comorbidity_date", "admission_date", "event_date_imputed")
+    if exclude_index_spell:
+        own["diagnoses"] = own["diagnoses"].filter("event_date_imputed = 0")
     return combined(list(own.values()))
 
 
-def comorbidity_features(diagnoses: DataFrame, problems: DataFrame, prescriptions: DataFrame, episodes: DataFrame, icd: DataFrame, snomed: DataFrame, drugs: DataFrame) -> DataFrame:
+def comorbidity_features(diagnoses: DataFrame, problems: DataFrame, prescriptions: DataFrame, episodes: DataFrame, icd: DataFrame, snomed: DataFrame, drugs: DataFrame, exclude_index_spell: bool = False) -> DataFrame:
     """(subject, infection_id, flags, cci_score) from cleaned sources."""
-    mapped = reconcile(map_evidence(evidence_table(diagnoses, problems, prescriptions, episodes), icd, snomed, drugs))
+    mapped = reconcile(map_evidence(evidence_table(diagnoses, problems, prescriptions, episodes, exclude_index_spell), icd, snomed, drugs))
     return scored(episode_flags(mapped, episodes))
 
 
