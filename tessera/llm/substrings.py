@@ -71,15 +71,19 @@ class Parsed:
 
 
 def index_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, anchor, block, first, last) for each block of docs (id, text)."""
+    """(id, anchor, block, firsts, windows) for each different block of each of docs (id, text): where it begins, and its number of windows."""
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         for first, past, words in word_runs(as_bytes(batch.column(1))):
             own, lo, hi, anchor, block = Parsed(words).blocks(window)
-            ids = batch.column(0).slice(first, past - first).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "anchor", "block", "first", "last"])
+            order = np.lexsort((lo, anchor, block, own))
+            own, lo, hi, anchor, block = (x[order] for x in (own, lo, hi, anchor, block))
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])])) if len(own) else np.empty(0, np.int64)
+            ids = batch.column(0).slice(first, past - first).take(pa.array(own[new]))
+            firsts = pa.ListArray.from_arrays(pa.array(np.append(new, len(own)).astype(np.int32)), pa.array(lo.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[new].view(np.int64)), pa.array(block[new].view(np.int64)), firsts, pa.array((hi - lo + 1)[new].astype(np.int32))], names=["id", "anchor", "block", "firsts", "windows"])
 
-    return map_batches(docs, step, f"id {docs.schema['id'].dataType.simpleString()}, anchor long, block long, first int, last int")
+    return map_batches(docs, step, f"id {docs.schema['id'].dataType.simpleString()}, anchor long, block long, firsts array<int>, windows int")
 
 
 def window_rows(joined: DataFrame, window: int) -> DataFrame:
@@ -146,13 +150,15 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = written(index_rows(rows.filter("id IS NOT NULL"), window), "blocks")
-    index = blocks.groupBy("anchor", "block").agg(F.min(F.struct("id", "first", "last")).alias("owner"), F.max("id").alias("highest"))
+    index = blocks.groupBy("anchor", "block").agg(F.min(F.struct("id", "firsts", "windows")).alias("owner"), F.max("id").alias("highest"))
     index = written(index, "index")
     copied = index.filter("highest > owner.id").select("anchor", "block", F.col("owner.id").alias("owner"))
-    factors = blocks.join(copied, ["anchor", "block"]).filter("id > owner").select("id", "first", "last")
+    factors = blocks.join(copied, ["anchor", "block"]).filter("id > owner").select("id", F.explode("firsts").alias("first"), "windows")
+    factors = factors.select("id", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
 
     contested = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    boundary = index.join(contested, "anchor", "left_semi").select(F.col("owner.id").alias("id"), F.struct("anchor", F.col("owner.first").alias("first"), F.col("owner.last").alias("last")).alias("block"))
+    boundary = index.join(contested, "anchor", "left_semi").select(F.col("owner.id").alias("id"), "anchor", F.explode("owner.firsts").alias("first"), F.col("owner.windows").alias("windows"))
+    boundary = boundary.select("id", F.struct("anchor", "first", (F.col("first") + F.col("windows") - 1).alias("last")).alias("block"))
     listed = boundary.groupBy("id").agg(F.collect_list("block").alias("listed"))
     windows = window_rows(rows.join(listed, "id", "left").select("id", "text", "listed"), window)
     windows = written(windows, "windows")

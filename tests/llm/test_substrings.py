@@ -43,6 +43,14 @@ def test_small_windows_and_small_batches(spark, monkeypatch):
             assert hashlib.sha256(got[d][2].encode()).hexdigest() == digest
 
 
+def test_passages_repeated_within_documents(spark):
+    """The owner of a block may have it several times; each of them is judged."""
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(["x"] + passage[:55])), (2, " ".join((passage + ["q", "r"]) * 3)), (3, " ".join(["a", "b"] * 80 + passage * 2)), (4, " ".join(["a"] * 200)), (5, " ".join(["z"] + ["a"] * 70 + ["a", "b"] * 40))]
+    got = sorted(map(tuple, substrings.digest_query(frame(spark, rows)).collect()))
+    assert got == sorted(brute(rows)) and got[1][2] == 165
+
+
 def test_leftmost_least():
     values = np.random.default_rng(2).integers(0, 9, 300)
     for width in (1, 2, 3, 7, 43, 300):
