@@ -76,6 +76,7 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
     """(id, dropped) for the rows (id, text) that have lines of recurring templates."""
     lines = written(line_rows(rows.filter("id IS NOT NULL"), depth), "lines")
     often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    often = written(often, "often")  # as below: both sides of the join are then shuffled for it, and Spark can split hot leaves
     listed = lines.join(often, "leaf", "left_semi").groupBy("id").agg(F.collect_list("line").alias("listed"))
     parsed = token_rows(rows.join(listed.hint("merge"), "id", "left").select("id", "text", "listed"), depth)  # the same plan at every size
     parsed = written(parsed, "parsed")
@@ -90,7 +91,7 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
 
     told = written(parsed.select("id", "line", "leaf", "content").join(sized, ["leaf", "content"]).select("id", "line", "leaf", "template"), "told")
     spread = told.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
-    spread = spread.filter(F.col("docs") >= min_docs).drop("docs")
+    spread = written(spread.filter(F.col("docs") >= min_docs).drop("docs"), "spread")
     gone = told.join(spread, ["leaf", "template"])
     return (gone.filter("id > first") if keep_first else gone).groupBy("id").agg(F.collect_set("line").alias("dropped"))
 
