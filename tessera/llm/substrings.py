@@ -157,6 +157,7 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     factors = factors.select("id", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
 
     contested = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    contested = written(contested, "contested")  # as below: both sides of the join are then shuffled for it, and Spark can split hot anchors
     boundary = index.join(contested, "anchor", "left_semi").select(F.col("owner.id").alias("id"), "anchor", F.explode("owner.firsts").alias("first"), F.col("owner.windows").alias("windows"))
     boundary = boundary.select("id", F.struct("anchor", "first", (F.col("first") + F.col("windows") - 1).alias("last")).alias("block"))
     listed = boundary.groupBy("id").agg(F.collect_list("block").alias("listed"))
