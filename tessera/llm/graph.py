@@ -13,6 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links are longs in either direction; loops and repeated links do no harm, nulls are left out. Each step is
     an aggregation and a join on the node, written to the shared folder; the steps end when they change nothing.
+    The aggregates are written too: both sides of a join are then shuffled for it, and Spark can split hot nodes.
     """
     pairs = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(pairs, "links")
@@ -33,12 +34,12 @@ def summary(links: DataFrame) -> tuple:
 def large_star(links: DataFrame) -> DataFrame:
     """Connects every larger neighbour of a node to the smallest of its neighbours and itself."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
     """Connects every smaller neighbour of a node, and itself, to the smallest one."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -169,7 +169,8 @@ def rooted(marked: DataFrame, least, radius: int) -> DataFrame:
     named = written(marked.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
     roots = components(links(named.select("fp"), radius)).withColumnRenamed("node", "fp")
     own = written(named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    return own.select("fp", "root").join(own.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
+    whole = written(own.groupBy("root").agg(F.min("least").alias("least")), "least")
+    return own.select("fp", "root").join(whole, "root").select("fp", "least")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
