@@ -18,6 +18,8 @@ from .metrics import brier, ranking
 from .preprocess import Preprocessor
 
 SEED = 42
+#: Candidate thresholds of a feature in trees.
+BINS = 256
 #: Vectors in a block of the neighbour search.
 BLOCK = 2_000
 
@@ -64,8 +66,8 @@ MODELS: dict[str, Callable] = {
     "Logistic L2": logistic(0.0),
     "Logistic L1": logistic(1.0),
     "Logistic elastic net": logistic(0.5),
-    "Decision tree": estimated(lambda n: named(DecisionTreeClassifier, probabilityCol="__probability", maxDepth=30, maxMemoryInMB=512, seed=SEED)),
-    "Random forest": estimated(lambda n: named(RandomForestClassifier, probabilityCol="__probability", numTrees=100, maxDepth=20, seed=SEED)),
+    "Decision tree": estimated(lambda n: named(DecisionTreeClassifier, probabilityCol="__probability", maxDepth=30, maxBins=BINS, maxMemoryInMB=512, seed=SEED)),
+    "Random forest": estimated(lambda n: named(RandomForestClassifier, probabilityCol="__probability", numTrees=100, maxDepth=20, maxBins=BINS, seed=SEED)),
     "k-NN": lambda train, target, features: neighbour_score(train, target, features),
     "SVM (linear substitute)": estimated(lambda n: named(LinearSVC, regParam=1.0 / max(1, n), maxIter=100, standardization=False)),
     "Boosted trees (substitute)": estimated(lambda n: named(GBTClassifier, probabilityCol="__probability", maxIter=20, seed=SEED)),
