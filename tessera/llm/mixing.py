@@ -66,8 +66,10 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
     low, high = 0.0, 1.0
     for _ in range(ROUNDS):
         points = [low + (high - low) * k / 2**STEPS for k in range(1, 2**STEPS)]
-        sums = live.agg(*[F.sum(F.pow(share, F.lit(a))) for a in points], *[F.sum(F.pow(share, F.lit(a)) * F.log(share)) for a in points]).first()
-        z, zl = sums[: len(points)], sums[len(points) :]
+        grown = live.select("tokens", F.posexplode(F.array(*map(F.lit, points))).alias("k", "a"))
+        power = F.pow(share, F.col("a"))
+        sums = grown.groupBy("k").agg(F.sum(power).alias("z"), F.sum(power * F.log(share)).alias("zl")).orderBy("k").collect()
+        z, zl = [r.z for r in sums], [r.zl for r in sums]
         for k, a in enumerate(points):
             if mix.max_repeats is not None:
                 reached = repeats_at(a, z[k], whole, mix) <= mix.max_repeats
@@ -115,8 +117,8 @@ def schedule(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str
     source = F.coalesce(F.col(source_col), F.lit("")).alias("source")
     counted = docs.select(F.col(id_col).alias("id"), source, word_count(F.col(text_col)).alias("tokens"))
     counted = written(counted, "tokens")
-    sources = weighted(counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), mix)
-    sources = written(sources, "sources")
+    totals = written(counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "totals")
+    sources = written(weighted(totals, mix), "sources")
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     hinted = F.broadcast(sources) if few else sources
     blocks = counted.join(hinted.select("source", "blocks", "passes", "left").filter("left > 0"), "source")
