@@ -125,10 +125,12 @@ def bucket_links(fps: np.ndarray, rests: np.ndarray, low: int) -> tuple[np.ndarr
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (u, v), u > v, that connect all fingerprints of `distinct` (column fp, each once) differing in at most radius bits.
 
-    An even radius is assumed; links stand for pairs within the radius or for chains of such pairs. Each bucket
+    Links stand for pairs within the radius or for chains of such pairs. Each bucket
     holds at most VARIANTS_MOST variants in memory. One job counts the fingerprints, and one each level of
     dealing looks for buckets that are too large.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even, so that half of it is one")
     half = radius // 2
     n = distinct.count()
     depth = 4

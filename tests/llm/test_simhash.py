@@ -62,6 +62,8 @@ def test_links_of_dense_groups(spark, monkeypatch, most, aim):
 
 
 def test_odd_rows(spark):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(frame(spark, [(1, "a")]), radius=3)
     docs = frame(spark, [(None, "a b c d e f"), (4, None), (2, ""), (4, None), (9, "a b c d e f"), (None, "zz yy xx ww")])
     got = sorted((r.doc_id, r.component_id) for r in simhash.digest_query(docs).collect() if r.doc_id is not None)
     assert got == [(2, 2), (4, 2), (4, 2), (9, 9)]
