@@ -96,8 +96,8 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
     return (gone.filter("id > first") if keep_first else gone).groupBy("id").agg(F.collect_set("line").alias("dropped"))
 
 
-def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0.5, min_docs: int = 10, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns unchanged, with `kept_text`, `n_lines` and `n_dropped` in the struct column `parsed`.
+def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0.5, min_docs: int = 10, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", name: str = "parsed") -> DataFrame:
+    """The rows of docs, all columns unchanged, with `kept_text`, `n_lines` and `n_dropped` in a struct column of the given name.
 
     A line is dropped if its template has constants at a share of at least constant_share of its places and is in
     at least min_docs documents; with keep_first the document of smallest id keeps it. A token is constant in a
@@ -109,13 +109,13 @@ def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0
     row from its leaf on.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first).withColumnRenamed("id", "__id")
+    dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first).select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped"))
     out = docs.join(dropped.hint("merge"), docs[id_col] == dropped["__id"], "left").drop("__id")
     split = F.split(F.col(text_col), "\n")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    kept = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    gone = F.coalesce("__dropped", F.array().cast("array<int>"))
+    kept = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     n_lines = F.size(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumn("parsed", F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))).drop("dropped")
+    return out.withColumn(name, F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))).drop("__dropped")
 
 
 def lines_query(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def lines_query(docs: DataFrame) -> DataFrame:
 
 def deduped_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs with the kept lines as their text; n_chars, where there is one, follows the text."""
-    out = without_templates(docs).withColumn("text", F.col("parsed.kept_text"))
+    out = without_templates(docs, name="__parsed").withColumn("text", F.col("__parsed.kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -65,10 +65,11 @@ def test_parameters(spark):
 
 
 def test_rows_keep_their_columns(spark):
-    docs = frame(spark, [(d, t, "en", len(t or "")) for d, t in rows()], "doc_id long, text string, lang string, n_chars long")
+    docs = frame(spark, [(d, t, "en", len(t or ""), 1, 2, 3) for d, t in rows()], "doc_id long, text string, lang string, n_chars long, parsed int, dropped int, line int")
     got = templates.deduped_rows(docs)
     assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     collected = got.collect()
+    assert {(r.parsed, r.dropped, r.line) for r in collected} == {(1, 2, 3)}
     assert len(collected) == docs.count() and all(r.n_chars == len(r.text) for r in collected if r.text is not None)
     assert templates.lines_query(frame(spark, [])).count() == 0
 
