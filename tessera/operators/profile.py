@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import with_missing_label
+from .ranks import cut_points, range_of
 
 #: Fixed: the quantiles of a summary, with their columns.
 QUANTILES = {"min": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "max": 1.0}
@@ -88,36 +89,35 @@ def with_missing_flags(df: DataFrame, columns: list[str]) -> tuple[DataFrame, li
     return out, out.columns
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str) -> Column:
-    """The mean rank of equal values, from the number of smaller and equal ones."""
-    same = Window.partitionBy(*keys, value)
-    below = Window.partitionBy(*keys).orderBy(value)
-    return F.rank().over(below) + (F.count(F.lit(1)).over(same) - 1) / 2.0
-
-
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable_1, variable_2, rho) for each ordered pair: rank correlation over rows that have both, 0 if undefined, 1 with itself.
 
-    Ranks come from counts of different values: a pair's values are counted, the counts are added up over value
-    ranges, and rows get their ranks by a join, so that no task ranks a whole column row by row.
+    Ranks come from counts of different values: a pair's values are counted, the counts are added up within ranges
+    of values and over the ranges, and the counted cells get their ranks by a join. No task sorts a whole column.
     """
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    own = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))) for a, b in pairs]
     diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "variable_1 string, variable_2 string, rho double")
     if not pairs:
         return diagonal
+    value = {c: F.col(c).cast("double") for c in columns}
+    cuts = cut_points(df.select(*[e.alias(c) for c, e in value.items()]), columns)
+    part = {c: range_of(value[c], cuts[c]) for c in columns}
+    own = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), value[a].alias("x"), value[b].alias("y"), part[a].alias("px"), part[b].alias("py"))) for a, b in pairs]
     keys = ["variable_1", "variable_2"]
-    cells = df.select(F.explode(F.array_compact(F.array(*own))).alias("p")).select("p.*").groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.explode(F.array_compact(F.array(*own))).alias("p")).select("p.*").groupBy(*keys, "px", "x", "py", "y").agg(F.count(F.lit(1)).alias("n"))
     ranked = cells
     for v in ("x", "y"):
-        margin = cells.groupBy(*keys, v).agg(F.sum("n").alias("m"))
-        upto = F.sum("m").over(Window.partitionBy(*keys).orderBy(v))
-        margin = margin.select(*keys, v, (upto - (F.col("m") - 1) / 2.0).alias(f"r{v}"))
-        ranked = ranked.join(margin, [*keys, v])
+        margin = cells.groupBy(*keys, f"p{v}", v).agg(F.sum("n").alias("m"))
+        before = F.sum("t").over(Window.partitionBy(*keys).orderBy(f"p{v}").rowsBetween(Window.unboundedPreceding, -1))
+        sums = margin.groupBy(*keys, f"p{v}").agg(F.sum("m").alias("t")).select(*keys, f"p{v}", F.coalesce(before, F.lit(0)).alias("before"))
+        upto = F.col("before") + F.sum("m").over(Window.partitionBy(*keys, f"p{v}").orderBy(v))
+        margin = margin.join(F.broadcast(sums), [*keys, f"p{v}"])  # a row for each pair and range
+        ranked = ranked.join(margin.select(*keys, f"p{v}", v, (upto - (F.col("m") - 1) / 2.0).alias(f"r{v}")), [*keys, f"p{v}", v])
     n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
     sxy, sxx, syy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
     spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    rho = F.when(spread > 0, (n * sxy - sx * sy) / spread).otherwise(0.0)
+    varies = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))  # not left to rounding
+    rho = F.when(varies, (n * sxy - sx * sy) / spread).otherwise(0.0)
     found = ranked.groupBy(*keys).agg(rho.alias("rho"))
     grid = df.sparkSession.createDataFrame(pairs, "variable_1 string, variable_2 string")
     upper = grid.join(found, keys, "left").select(*keys, F.coalesce("rho", F.lit(0.0)).alias("rho"))

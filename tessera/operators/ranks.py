@@ -29,13 +29,26 @@ def placed(df: DataFrame, keys: list[str], part: Column, order: list) -> DataFra
     return out.select(*df.columns, "place", F.col("size").cast("long").alias("size"))
 
 
-def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """df with `place`, the rank from 1 by (value, tie), and `size`; value is a non-null number.
+def cut_points(df: DataFrame, columns: list[str], ranges: int = RANGES) -> dict[str, list[float]]:
+    """Approximate quantiles of each column that deal its values over so many ranges; all that the driver sees of them."""
+    share = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    found = df.agg(*[F.percentile_approx(c, share, F.lit(4 * ranges)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    return {c: sorted(set(found[k] or [])) for k, c in enumerate(columns)}
 
-    Ranges of values come from approximate quantiles, RANGES of them at most, which is all that the driver sees.
-    """
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(4 * RANGES)).alias("cuts")).first().cuts or []
-    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    part = F.size(F.filter(edges, lambda c: c < F.col(value)))
+
+def range_of(value: Column, cuts: list[float]) -> Column:
+    """The number of cut points below a value, by a tree of comparisons."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value > F.lit(cuts[mid]), between(mid + 1, high)).otherwise(between(low, mid))
+
+    return between(0, len(cuts))
+
+
+def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """df with `place`, the rank from 1 by (value, tie), and `size`; value is a non-null number."""
     one = df.withColumn("__all", F.lit(1))
-    return placed(one, ["__all"], part, [value, tie]).drop("__all")
+    return placed(one, ["__all"], range_of(F.col(value), cut_points(df, [value])[value]), [value, tie]).drop("__all")

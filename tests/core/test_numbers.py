@@ -55,6 +55,12 @@ def test_dependencies(rows, table):
             assert got[a][b] == pytest.approx(1.0 if a == b else want.loc[a, b], abs=1e-9)
 
 
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("x"), F.lit(0.1).alias("y"))
+    got = {(r.variable_1, r.variable_2): r.rho for r in profile.spearman(df, ["x", "y"]).collect()}
+    assert got == {("x", "y"): 0.0, ("y", "x"): 0.0, ("x", "x"): 1.0, ("y", "y"): 1.0}
+
+
 def test_frequencies_and_summary(rows, table):
     got = {(r.variable, r.category): (r["count"], r.proportion) for r in profile.frequencies(rows, ["site", "gender"]).collect()}
     assert got["gender", "__MISSING__"] == (10, 10 / 300) and got["site", "a"][0] == (table.site == "a").sum()
