@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import synth
+from tessera.plans import catalog
 from tessera.streaming import first
 
 
@@ -74,3 +77,12 @@ def test_streams(spark, tmp_path):
         run.stop()
     assert sorted((r.user, r.kind, str(r.first_date)) for r in spark.table("seen").collect()) == [("u", "a", "2020-01-01 00:00:00"), ("v", "b", "2020-01-01 01:00:00")]
     assert spark.table("counted").groupBy("kind").agg(F.max("n")).count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_query_describes_the_whole_table(spark):
+    """As many rows as lineitem has, with the counts of its categories and nulls."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("lacks", F.col("l_partkey") % 9 == 0)
+    got = catalog.QUERIES["q50_synth_dataset"](spark, "/root/testdata/sf0.001").withColumn("lacks", F.col("l_extendedprice").isNull())
+    for c in ("l_returnflag", "l_linestatus", "lacks"):
+        assert sorted(map(tuple, got.groupBy(c).count().collect())) == sorted(map(tuple, lines.groupBy(c).count().collect()))
