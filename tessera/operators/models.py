@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -116,15 +116,23 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
 
 
 def neighbour_score(train: DataFrame, target: str, features: list[str], k: int = 5) -> Callable[[DataFrame], DataFrame]:
-    """Scores rows with the share of positives among the k nearest training rows."""
+    """Scores rows with the share of positives among the k nearest training rows.
+
+    Repeated training rows vote each. Rows of one vector are one point with their counts; the k nearest points hold
+    the k nearest rows, and of the last point only as many rows vote as are lacking, with the point's share.
+    """
     vector = F.array(*[F.col(c).cast("double") for c in features])
-    base = train.withColumn("__id", F.concat(F.lit("t"), F.xxhash64(*train.columns).cast("string"))).dropDuplicates(["__id"]).select("__id", vector.alias("__v"), target)
+    own_id = F.concat(F.lit("t"), F.xxhash64("__v").cast("string"))
+    base = train.select(vector.alias("__v"), F.col(target).cast("double").alias("__y")).groupBy("__v").agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("share")).withColumn("__id", own_id)
 
     def score(df: DataFrame) -> DataFrame:
-        own = df.withColumn("__id", F.concat(F.lit("q"), F.xxhash64(*df.columns).cast("string")))
+        own = df.withColumn("__id", F.concat(F.lit("q"), F.xxhash64(*[F.col(c).cast("double") for c in features]).cast("string")))
         asked = own.select("__id", vector.alias("__v")).dropDuplicates(["__id"])
-        found = nearest(asked, base.drop(target), "__id", "__v", k)
-        share = found.join(base.select(F.col("__id").alias("neighbour"), target), "neighbour").groupBy(F.col("query").alias("__id")).agg(F.avg(F.col(target).cast("double")).alias("score"))
+        found = nearest(asked, base.select("__id", "__v"), "__id", "__v", k)
+        points = found.join(base.select(F.col("__id").alias("neighbour"), "n", "share"), "neighbour")
+        nearer = F.coalesce(F.sum("n").over(Window.partitionBy("query").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        votes = points.withColumn("votes", F.greatest(F.lit(0), F.least("n", F.lit(k) - nearer)))
+        share = votes.groupBy(F.col("query").alias("__id")).agg((F.sum(F.col("votes") * F.col("share")) / F.sum("votes")).alias("score"))
         return own.join(share, "__id", "left").drop("__id")
 
     return score

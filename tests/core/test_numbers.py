@@ -176,6 +176,13 @@ def test_neighbours(spark):
     assert {(r.query, r.place): r.neighbour for r in got} == {(i, p + 1): int(j) for i in range(60) for p, j in enumerate(np.argsort(far[i])[:4])}
 
 
+def test_repeated_training_rows_vote_each(spark):
+    """Ten positives and a negative at one point are eleven votes, of which five count with the point's share; nearer points count first."""
+    train = spark.createDataFrame([(0.0, 1)] * 10 + [(0.0, 0)] + [(5.0, 0)] * 2 + [(6.0, 1)] * 9 + [(50.0, 0)] * 7, "x double, y int")
+    got = {r.x: r.score for r in models.neighbour_score(train, "y", ["x"])(spark.createDataFrame([(0.0,), (5.0,), (5.0,), (49.0,)], "x double")).collect()}
+    assert got == {0.0: pytest.approx(10 / 11), 5.0: pytest.approx(3 / 5), 49.0: 0.0}
+
+
 def test_modelling_plan(spark, rows, tmp_path):
     """Split, preparation and cross-validation through files; informed models beat the prior."""
     modelling.run_split(rows, f"{tmp_path}/splits")
