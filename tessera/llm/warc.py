@@ -68,9 +68,12 @@ def header(fields: list[tuple[str, str | int | None]]) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines]).encode() + GAP
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of one capture, each without the gap that ends it: a revisit, or a response in one or more segments."""
-    own = f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: int, date: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one capture, each without the gap that ends it: a revisit, or a response in one or more segments.
+
+    The number is the row's own, so that captures of one page and payload are different records; a reference names page and digest.
+    """
+    own = f"<urn:page:{'none' if page_id is None else page_id}:{digest}:{number}>"
     target = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     common = [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
@@ -81,14 +84,14 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if len(block) <= segment_bytes:
         yield header([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("Content-Length", len(block))]) + block
         return
-    for number, k in enumerate(range(0, len(block), segment_bytes), 1):
+    for segment, k in enumerate(range(0, len(block), segment_bytes), 1):
         part = block[k : k + segment_bytes]
         last = k + segment_bytes >= len(block)
-        if number == 1:
+        if segment == 1:
             told = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common]
         else:
-            told = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{number}>"), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", own)]
-        yield header([*told, ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", len(block) if last and number > 1 else None), ("Content-Length", len(part))]) + part
+            told = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{segment}>"), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", own)]
+        yield header([*told, ("WARC-Segment-Number", segment), ("WARC-Segment-Total-Length", len(block) if last and segment > 1 else None), ("Content-Length", len(part))]) + part
 
 
 def with_decisions(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -119,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
                 records = list(record_bytes(*row, date, segment_bytes, chunk_bytes))
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    decided = with_decisions(pages, min_bytes, id_col, url_col, payload_col)
+    decided = with_decisions(pages, min_bytes, id_col, url_col, payload_col).withColumn("number", F.monotonically_increasing_id())
     records = decided.mapInArrow(batched(run), "record binary")
     out = records.select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", in_file).text(path)
@@ -263,12 +266,16 @@ def page_number(record_id: Column) -> Column:
     return F.regexp_extract(record_id, r"^<urn:page:(-?\d+)", 1).try_cast("long")
 
 
+def referred(record_id: Column) -> Column:
+    """How a revisit names a record of write_archives(): without the number of its row."""
+    return F.regexp_replace(record_id, r"^(<urn:page:[^:]+:[^:>]+):.*$", "$1>")
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes pages as archives into the shared folder, reads them back and returns a row for each page.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit has the size of the
-    payload that it refers to. A row that repeats page and payload comes back as often as it was written, once
-    if its record has segments; a null id comes back null and is never referred to.
+    payload that it refers to. A row that repeats page and payload comes back as often as it was written; a null id comes back null and is never referred to.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/tessera-warc-{uuid.uuid4().hex}"
@@ -276,7 +283,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     told = captures(spark, path).select("record_id", "kind", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.coalesce("payload_digest", "digest").alias("payload_digest"))
     told = written(told, "captures")
     responses, revisits = told.filter("kind = 'response'"), told.filter("kind = 'revisit'").drop("payload_bytes")
-    sizes = responses.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    sizes = responses.groupBy(referred(F.col("record_id")).alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"))
     everything = responses.unionByName(revisits.join(sizes, "refers_to", "left"))
     return everything.select(page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_number(F.col("refers_to")).alias("refers_to"))
 

@@ -80,3 +80,12 @@ def test_odd_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], COLUMNS)).count() == 0
     got = warc.round_trip(spark.createDataFrame([(None, "u", "same"), (4, "v", "same"), (None, "w", "lone")], COLUMNS)).collect()
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == [("4", "response", "None"), ("None", "response", "None"), ("None", "revisit", "4")]
+
+
+def test_repeated_large_rows(spark):
+    """Rows of one page, and of none, with one payload in segments come back as often as they were written."""
+    large, other = "x" * (warc.SEGMENT_BYTES + 1000), "y" * (3 * warc.SEGMENT_BYTES)
+    own = [(7, "u", large)] * 3 + [(5, "v", large), (None, "w", large)] + [(None, "a", other), (None, "b", other), (None, "b", other)]
+    got = warc.round_trip(spark.createDataFrame(own, COLUMNS)).collect()
+    want = [("7", len(large), "response", "None")] * 3 + [("5", len(large), "revisit", "7"), ("None", len(large), "revisit", "7")] + [("None", len(other), "response", "None")] * 3
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
