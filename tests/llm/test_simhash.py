@@ -81,3 +81,21 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (200, 199)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 140)}, 200: 199}
+
+
+def test_similar_texts_are_linked(spark):
+    """Texts of five-word similarity 0.8 or more go, however far their fingerprints are; others stay."""
+    rng = random.Random(0)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    near, far = [*words], [*words]
+    for k in range(20, 400, 60):
+        near[k] = "other"
+    for k in range(0, 400, 20):
+        far[k] = "other"
+    rows = [(d, " ".join(w)) for d, w in enumerate([words, near, far, [w + "z" for w in words]])]
+    prints = [brute_print(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() > 4
+    assert sorted(r.doc_id for r in simhash.representatives(frame(spark, rows), similarity=0.8).collect()) == [0, 2, 3]
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, frame(spark, rows), "").collect()) == [0, 2, 3]
