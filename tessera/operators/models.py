@@ -70,7 +70,7 @@ MODELS: dict[str, Callable] = {
     "Random forest": estimated(lambda n: named(RandomForestClassifier, probabilityCol="__probability", numTrees=100, maxDepth=20, maxBins=BINS, seed=SEED)),
     "k-NN": lambda train, target, features: neighbour_score(train, target, features),
     "SVM (linear substitute)": estimated(lambda n: named(LinearSVC, regParam=1.0 / max(1, n), maxIter=100, standardization=False)),
-    "Boosted trees (substitute)": estimated(lambda n: named(GBTClassifier, probabilityCol="__probability", maxIter=20, seed=SEED)),
+    "Boosted trees (substitute)": estimated(lambda n: GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__prediction", maxIter=100, maxBins=BINS, seed=SEED).setRawPredictionCol("__raw").setProbabilityCol("__probability")),
 }
 
 

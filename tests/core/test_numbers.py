@@ -201,6 +201,20 @@ def test_models_rank_rows(rows, name):
     assert models.quality(score(whole), "esbl_status")["roc_auc"] > (0.95 if name == "Decision tree" else 0.6)
 
 
+def test_boosted_trees_take_all_rounds(rows, monkeypatch):
+    """As many rounds as the library that they stand for, and the thresholds of the other trees."""
+    told, make = {}, models.GBTClassifier
+
+    def recorded(**parameters):
+        told.update(parameters)
+        return make(**parameters | {"maxIter": 2})
+
+    monkeypatch.setattr(models, "GBTClassifier", recorded)
+    whole = rows.filter("y IS NOT NULL").select("x", "y", "esbl_status")
+    score = models.MODELS["Boosted trees (substitute)"](whole, "esbl_status", ["x", "y"])
+    assert score(whole).count() == whole.count() and (told["maxIter"], told["maxBins"]) == (100, models.BINS)
+
+
 def test_summaries_and_synthesis(spark, rows, table, tmp_path):
     """A table is summarised, made again from its summaries and keeps its counts, nulls, quantiles and rank dependencies."""
     own = rows.withColumns({"gender": F.col("gender").cast("int"), "ward": F.when(F.col("z") > 3, "north").otherwise("south west")})
