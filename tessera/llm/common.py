@@ -56,6 +56,14 @@ def discarded(table: DataFrame) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, as texts can be long; the session's own lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hex64, map_batches, mixed, written
+from .common import as_bytes, fresh, hex64, map_batches, written
 from .graph import components
 
 BITS = 64
@@ -28,8 +28,6 @@ BITS = 64
 VARIANTS_AIM, VARIANTS_MOST = 1_500_000, 12_000_000
 #: Bits that a bucket with too many variants is dealt out over.
 DEEPER = 8
-#: Words of a shingle of the verified similarity; bands of a text and least hashes in a band.
-WORDS, BANDS, BAND_HASHES = 5, 16, 4
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -72,14 +70,15 @@ def ball_size(bits: int, radius: int) -> int:
     return sum(comb(bits, k) for k in range(min(bits, radius) + 1))
 
 
-def deal(rows: DataFrame, depth: int, more: int, radius: int) -> DataFrame:
-    """Rows of (fp, bucket, rest) over `more` further leading bits: bucket has the leading bits of the variants, rest the flips that remain."""
-    low = BITS - depth - more
+def deal(rows: DataFrame, depth: int, more: int, radius: int, bits: int = BITS) -> DataFrame:
+    """Rows of (fp, bucket, rest, others) over `more` further leading bits: bucket has the leading bits of the variants, rest the flips that remain."""
+    low = bits - depth - more
     own = F.shiftrightunsigned("fp", low).bitwiseAND((1 << more) - 1) if low else F.col("fp").bitwiseAND((1 << more) - 1)
     flips = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(k).alias("used")) for m, k in ball(more, radius)])
     out = rows.withColumn("flip", F.explode(F.filter(flips, lambda x: x["used"] <= F.col("rest"))))
     bucket = F.shiftleft("bucket", more).bitwiseOR(own.bitwiseXOR(F.col("flip.mask")))
-    return out.select("fp", bucket.alias("bucket"), (F.col("rest") - F.col("flip.used")).alias("rest"))
+    others = [c for c in rows.columns if c not in ("bucket", "rest")]
+    return out.select(*others, bucket.alias("bucket"), (F.col("rest") - F.col("flip.used")).alias("rest"))
 
 
 def weight(low: int, radius: int):
@@ -88,10 +87,10 @@ def weight(low: int, radius: int):
     return F.element_at(sizes, F.col("rest") + 1)
 
 
-def bucket_links(fps: np.ndarray, rests: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, rests: np.ndarray, low: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest of its group) among fingerprints that share a variant of the bucket, as a star for each group.
 
-    Only the low bits of variants differ here. Groups that share a fingerprint are joined before they are
+    Only the low bits of variants differ here. Pairs that collide are verified against the radius. Groups that share a fingerprint are joined before they are
     returned, so that each fingerprint has one link at most.
     """
     keep = np.uint64((1 << low) - 1)
@@ -111,7 +110,8 @@ def bucket_links(fps: np.ndarray, rests: np.ndarray, low: int) -> tuple[np.ndarr
     pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
     a, b = pair // len(fps), pair % len(fps)
     far = np.bitwise_count(fps[a] ^ fps[b])
-    a, b = a[far > 0], b[far > 0]
+    near = (far > 0) & (far <= radius)
+    a, b = a[near], b[near]
     while True:
         low_root = np.minimum(root[a], root[b])
         before = root.copy()
@@ -146,7 +146,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         deeper = low > 0 and not heavy.isEmpty()
         heavy = written(heavy.select("bucket"), "heavy") if deeper else heavy
         light = rows.join(heavy, "bucket", "left_anti") if deeper else rows
-        found.append(linked_within(light, low))
+        found.append(linked_within(light, low, radius))
         if not deeper:
             break
         more = min(DEEPER, low)
@@ -158,84 +158,25 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return out
 
 
-def linked_within(rows: DataFrame, low: int) -> DataFrame:
+def linked_within(rows: DataFrame, low: int, radius: int) -> DataFrame:
     def step(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, table.column("rest").to_numpy(), low)
+        u, v = bucket_links(fps, table.column("rest").to_numpy(), low, radius)
         big, small = np.maximum(u.view(np.int64), v.view(np.int64)), np.minimum(u.view(np.int64), v.view(np.int64))
         return pa.table({"u": big, "v": small})
 
     return rows.groupBy("bucket").applyInArrow(step, "u long, v long")
 
 
-def rooted(marked: DataFrame, least, radius: int, more: DataFrame | None = None) -> DataFrame:
-    """(fp, least) for each distinct fp of marked: the aggregate `least` over the whole component, which further links (u, v) may join."""
+def rooted(marked: DataFrame, least, radius: int) -> DataFrame:
+    """(fp, least) for each distinct fp of marked: the aggregate `least` over the whole component."""
     named = written(marked.groupBy("fp").agg(F.min(least).alias("least")), "distinct")
-    near = links(named.select("fp"), radius)
-    roots = components(near if more is None else near.unionByName(more)).withColumnRenamed("node", "fp")
+    roots = components(links(named.select("fp"), radius)).withColumnRenamed("node", "fp")
     own = written(named.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     whole = written(own.groupBy("root").agg(F.min("least").alias("least")), "least")
     return own.select("fp", "root").join(whole, "root").select("fp", "least")
 
 
-def shingle_hashes(text: bytes | None) -> np.ndarray:
-    """The different hashes of the text's shingles of WORDS words, A-Z lower-cased; a shorter text is one shingle."""
-    words = text.lower().split() if text else []
-    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + WORDS])) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
-    return np.fromiter(own, np.uint64, len(own))
-
-
-SEEDS = mixed(np.arange(1, BANDS * BAND_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def bands(text: bytes | None) -> list[int] | None:
-    """A hash for each band: of the least values of its shingles under BAND_HASHES functions. Texts of similarity s share one with s**BAND_HASHES."""
-    own = shingle_hashes(text)
-    if not len(own):
-        return None
-    least = np.full(len(SEEDS), (1 << 64) - 1, np.uint64)
-    for k in range(0, len(own), 5_000):
-        least = np.minimum(least, mixed(own[k : k + 5_000, None] ^ SEEDS).min(axis=0))
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_HASHES))]
-
-
-def similar_links(keyed: DataFrame, prints: DataFrame, similarity: float, key: str, text_col: str) -> DataFrame:
-    """Links (u, v) of fingerprints of texts whose shingles of WORDS words have at least that Jaccard similarity.
-
-    Texts that share a band meet the first and the last of its texts; those pairs are verified, so no link is
-    wrong. `keyed` has the texts and `prints` the fp by key. Copies count once and each text has two pairs a band at
-    most, so that a large group is never squared.
-    """
-
-    def banded(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        own = as_bytes(batch.column(1))
-        content = pa.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) - (1 << 63) for t in own], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), content, pa.array([bands(t) for t in own], pa.list_(pa.int64()))], names=["key", "content", "bands"])
-
-    def sets(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        own = [shingle_hashes(t).view(np.int64) for t in as_bytes(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], names=["key", "fp", "shingles"])
-
-    texts = keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    different = map_batches(texts, banded, "key string, content long, bands array<long>").filter("bands IS NOT NULL")
-    different = different.groupBy("content").agg(F.min_by("bands", "key").alias("bands"), F.min("key").alias("key"))
-    placed = written(different.select("key", F.explode("bands").alias("band")), "bands")
-    ends = written(placed.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last"), "ends")
-    met = placed.join(ends, "band").select(F.col("key").alias("u"), F.explode(F.array("first", "last")).alias("v")).filter("u <> v")
-    pairs = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "asked")
-    told = texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).join(prints.groupBy("key").agg(F.min("fp").alias("fp")), "key")
-    found = written(map_batches(told.select("key", "fp", "text"), sets, "key string, fp long, shingles array<long>"), "shingles")
-
-    def side(name: str) -> DataFrame:
-        return found.select(F.col("key").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("shingles").alias(f"shingles_{name}"))
-
-    both = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    near = written(pairs.join(side("u"), "u"), "sided").join(side("v"), "v")
-    near = near.filter(both >= (F.size("shingles_u") + F.size("shingles_v") - both) * F.lit(similarity))
-    return written(near.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).filter("u <> v").distinct(), "similar")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fp (signed long) and component_id, the smallest id that links reach.
 
@@ -257,16 +198,19 @@ def digest_query(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns unchanged, that stay: one for each component, with the smallest id.
 
-    With a similarity, texts whose shingles of WORDS words are at least so similar are linked too, at whatever distance of fingerprints.
-
-    A row with a null id stays only for a component without ids; of rows with equal ids the one with the
-    smallest digest of its text stays, and of rows with equal ids and texts one.
+    With a similarity, links are those of similar.py: texts whose five-word shingles are at least so similar. Without
+    one, texts whose fingerprints of `shingle` words are within the radius. A row with a null id stays only for a
+    component without ids; of rows with equal ids the one with the smallest digest of its text stays, and of rows with
+    equal ids and texts one. An empty table gives an empty one; columns may have any names.
     """
-    key = "__row_key"
+    if similarity is not None:
+        from .similar import representatives as similar_representatives
+
+        return similar_representatives(docs, similarity, id_col, text_col)
+    key = fresh(docs, "row_key")
     digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
     keyed = docs.withColumn(key, digest)
     pair = keyed.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("row"), F.col(text_col))
     marked = written(fingerprints(pair, shingle, "row", text_col), "fingerprints")
-    more = None if similarity is None else similar_links(keyed, marked.select(F.col("row.key").alias("key"), "fp"), similarity, key, text_col)
-    stays = rooted(marked, F.col("row"), radius, more).select(F.col("least.key").alias(key)).distinct()
-    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    stays = rooted(marked, F.col("row"), radius).select(F.col("least.key").alias(key)).distinct()
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select([F.col(f"`{c}`") for c in docs.columns])
