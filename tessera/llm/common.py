@@ -106,7 +106,7 @@ def list_rows(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(length of each list, 0 for null; each field of all structs in the lists as one array)."""
     sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
     structs = lists.flatten()
-    return sizes, {f.name: structs.field(f.name).to_numpy() for f in structs.type}
+    return sizes, {f.name: structs.field(f.name).to_numpy(zero_copy_only=False) for f in structs.type}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

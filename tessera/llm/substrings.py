@@ -2,11 +2,12 @@
 
 Documents are factored against reference blocks. A window's anchor is its word group of smallest hash, and a
 run of windows with one anchor is a block: equal windows have equal anchors, wherever they are, so whatever
-repeats meets at its anchor. The index holds each different block once, with the document that comes first.
+repeats meets at its anchor. The index holds each different block once, with the document that has it first.
 
-A document is parsed block by block, from left to right: as long as its blocks are in the index under an
-earlier document, the factor goes on. At a factor's boundary a block differs from the indexed ones with its
-anchor; its windows are then checked one by one against the windows of those blocks. Factors of at least a
+A document is parsed greedily from left to right: a factor begins at the first block that an earlier document has,
+and takes in block after block as long as its source goes on with the same words; then the next factor begins. A
+factor's ends lie within blocks that differ from the indexed ones with their anchor; the windows there are checked
+one by one against the windows of those blocks, and lengthen the factor or make short ones. Factors of at least a
 window's length become duplicate spans. The boundary check touches each different block once, so that neither
 copies nor passages with many surroundings are compared pair by pair.
 """
@@ -71,7 +72,7 @@ class Parsed:
 
 
 def index_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, anchor, block, firsts, windows) for each different block of each of docs (id, text): where it begins, and its number of windows."""
+    """(doc, anchor, block, firsts, windows) for each different block of each of docs (doc, text): where it begins, and its number of windows."""
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         for first, past, words in word_runs(as_bytes(batch.column(1))):
@@ -81,13 +82,13 @@ def index_rows(docs: DataFrame, window: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])])) if len(own) else np.empty(0, np.int64)
             ids = batch.column(0).slice(first, past - first).take(pa.array(own[new]))
             firsts = pa.ListArray.from_arrays(pa.array(np.append(new, len(own)).astype(np.int32)), pa.array(lo.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[new].view(np.int64)), pa.array(block[new].view(np.int64)), firsts, pa.array((hi - lo + 1)[new].astype(np.int32))], names=["id", "anchor", "block", "firsts", "windows"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[new].view(np.int64)), pa.array(block[new].view(np.int64)), firsts, pa.array((hi - lo + 1)[new].astype(np.int32))], names=["doc", "anchor", "block", "firsts", "windows"])
 
-    return map_batches(docs, step, f"id {docs.schema['id'].dataType.simpleString()}, anchor long, block long, firsts array<int>, windows int")
+    return map_batches(docs, step, f"doc {docs.schema['doc'].dataType.simpleString()}, anchor long, block long, firsts array<int>, windows int")
 
 
 def window_rows(joined: DataFrame, window: int) -> DataFrame:
-    """(id, anchor, window, at) for the windows of the blocks listed with each document (id, text, listed); no list, no rows."""
+    """(doc, anchor, window, at) for the windows of the blocks listed with each document (doc, text, listed); no list, no rows."""
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         batch = batch.filter(batch.column(2).is_valid())
@@ -102,73 +103,100 @@ def window_rows(joined: DataFrame, window: int) -> DataFrame:
             start = parsed.starts[row[block]] + at
             hashes = parsed.ranges(start, start + window)
             ids = batch.column(0).slice(first, past - first).take(pa.array(row[block]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[block]), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))], names=["id", "anchor", "window", "at"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[block]), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))], names=["doc", "anchor", "window", "at"])
 
-    return map_batches(joined, step, f"id {joined.schema['id'].dataType.simpleString()}, anchor long, window long, at int")
+    return map_batches(joined, step, f"doc {joined.schema['doc'].dataType.simpleString()}, anchor long, window long, at int")
+
+
+def factors(first: np.ndarray, windows: np.ndarray, source: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(match that begins it, first word, word after its last) of each factor of a document, by greedy parsing from left to right.
+
+    Matches are runs of windows: where they begin, how many there are, and the document and place that they are
+    copied from. A factor goes on as long as the next match follows in the document and in its source.
+    """
+    order = np.lexsort((windows, first))
+    first, windows, source, at = first[order], windows[order], source[order], at[order]
+    goes_on = (first[1:] == first[:-1] + windows[:-1]) & (at[1:] == at[:-1] + windows[:-1]) & (source[1:] == source[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(first) else np.empty(0, np.int64)
+    ends = np.append(begins[1:], len(first)) - 1 if len(first) else begins
+    past = first[ends] + windows[ends] - 1 + window
+    long = past - first[begins] >= window
+    return order[begins[long]], first[begins[long]], past[long]
 
 
 def cut_rows(joined: DataFrame, window: int) -> DataFrame:
-    """(id, n_words, n_removed, kept_text, removed_spans) from (id, text, spans): spans are ranges of windows, first to last."""
+    """(id, n_words, n_removed, kept_text, removed_spans, factors) from (id, text, matches): runs of windows with their sources."""
+    kind = joined.schema["id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        n_words, n_removed, kept, removed = [], [], [], []
+        n_words, n_removed, kept, removed, begun, parsed, offsets = [], [], [], [], [], [], [0]
         sizes, own = list_rows(batch.column(2))
         at = np.concatenate([[0], np.cumsum(sizes)])
         for row, text in enumerate(as_bytes(batch.column(1))):
             words = text.split() if text else []
-            lo, hi = own["first"][at[row] : at[row + 1]], own["last"][at[row] : at[row + 1]] + window
+            part = slice(at[row], at[row + 1])
+            begin, lo, hi = factors(*(own[c][part] for c in ("first", "windows", "source", "at")), window)
             edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, lo.clip(max=len(words)), 1)
-            np.add.at(edge, hi.clip(max=len(words)), -1)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, hi, -1)
             left = np.cumsum(edge[:-1]) == 0
             shift = np.diff(np.concatenate([[1], left.view(np.int8), [1]]))
             n_words.append(len(words))
             n_removed.append(len(words) - int(left.sum()))
             kept.append(b" ".join(compress(words, left.tolist()) if len(lo) else words))
             removed.append([{"first": a, "past": b} for a, b in zip(np.flatnonzero(shift == -1).tolist(), np.flatnonzero(shift == 1).tolist())])
+            begun.append(begin + at[row])
+            parsed.append(np.stack([lo, hi]))
+            offsets.append(offsets[-1] + len(begin))
+        places = pa.array(np.concatenate([*begun, np.empty(0, np.int64)]).astype(np.int64))
+        matches = batch.column(2).flatten()
+        lo, hi = np.concatenate([*parsed, np.empty((2, 0), np.int64)], axis=1).astype(np.int32)
+        parse = pa.StructArray.from_arrays([pa.array(lo), pa.array(hi), matches.field("source").take(places), matches.field("at").take(places)], names=["first", "past", "source", "source_first"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, span_type)],
-            names=["id", "n_words", "n_removed", "kept_text", "removed_spans"],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, span_type), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parse)],
+            names=["id", "n_words", "n_removed", "kept_text", "removed_spans", "factors"],
         )
 
-    return map_batches(joined, step, f"id {joined.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string, removed_spans array<struct<first:int,past:int>>")
+    spans = "removed_spans array<struct<first:int,past:int>>"
+    return map_batches(joined, step, f"id {kind}, n_words long, n_removed long, kept_text string, {spans}, factors array<struct<first:int,past:int,source:{kind},source_first:int>>")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_removed, kept_text and removed_spans (word ranges).
+    """One row per row of docs: id_col, n_words, n_removed, kept_text, removed_spans (word ranges) and factors (ranges and their sources).
 
     A word goes if it lies in a window of so many consecutive words whose sequence also starts in a document
     with a smaller id; windows are judged on the input. Words are unchanged; kept ones are joined by a space.
     Null and empty texts have no words. A row with a null id keeps its words and is no reference. Rows of one
-    id count as one document: repeated rows do not empty each other, and get the same spans. Hashes of 128 bits
-    stand for blocks and windows.
+    id count as one document, whether their texts are equal or not: they do not empty each other. An empty table
+    gives an empty one; other columns are not read. Hashes of 128 bits stand for blocks and windows, and 64 bits
+    tell texts of one id apart.
 
-    Shuffles: two of the index (44 bytes for about 22 words), one of the texts, which both joins read, and
+    Shuffles: two of the index (about 50 bytes for about 22 words), one of the texts, which both joins read, and
     those of the windows at factor boundaries. Hot anchors are aggregated before they are shuffled; the joins
     are on plain keys, whose hot ones Spark splits.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = written(index_rows(rows.filter("id IS NOT NULL"), window), "blocks")
-    index = blocks.groupBy("anchor", "block").agg(F.min(F.struct("id", "firsts", "windows")).alias("owner"), F.max("id").alias("highest"))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("digest")).alias("doc"), F.col(text_col).alias("text"))
+    blocks = written(index_rows(rows.filter("doc.id IS NOT NULL"), window), "blocks")
+    index = blocks.groupBy("anchor", "block").agg(F.min(F.struct("doc", "firsts", "windows")).alias("owner"), F.max("doc.id").alias("highest"))
     index = written(index, "index")
-    copied = index.filter("highest > owner.id").select("anchor", "block", F.col("owner.id").alias("owner"))
-    factors = blocks.join(copied, ["anchor", "block"]).filter("id > owner").select("id", F.explode("firsts").alias("first"), "windows")
-    factors = factors.select("id", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
+    copied = index.filter("highest > owner.doc.id").select("anchor", "block", F.col("owner.doc.id").alias("source"), F.col("owner.firsts")[0].alias("at"))
+    matched = blocks.join(copied, ["anchor", "block"]).filter("doc.id > source").select("doc", F.explode("firsts").alias("first"), "windows", "source", "at")
 
     contested = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     contested = written(contested, "contested")  # as below: both sides of the join are then shuffled for it, and Spark can split hot anchors
-    boundary = index.join(contested, "anchor", "left_semi").select(F.col("owner.id").alias("id"), "anchor", F.explode("owner.firsts").alias("first"), F.col("owner.windows").alias("windows"))
-    boundary = boundary.select("id", F.struct("anchor", "first", (F.col("first") + F.col("windows") - 1).alias("last")).alias("block"))
-    listed = boundary.groupBy("id").agg(F.collect_list("block").alias("listed"))
-    windows = window_rows(rows.join(listed, "id", "left").select("id", "text", "listed"), window)
+    boundary = index.join(contested, "anchor", "left_semi").select("owner.doc", "anchor", F.explode("owner.firsts").alias("first"), F.col("owner.windows").alias("windows"))
+    boundary = boundary.select("doc", F.struct("anchor", "first", (F.col("first") + F.col("windows") - 1).alias("last")).alias("block"))
+    listed = boundary.groupBy("doc").agg(F.collect_list("block").alias("listed"))
+    windows = window_rows(rows.join(listed, "doc", "left").select("doc", "text", "listed"), window)
     windows = written(windows, "windows")
-    earlier = windows.groupBy("anchor", "window").agg(F.min("id").alias("owner"), F.max("id").alias("highest")).filter("highest > owner").drop("highest")
+    earlier = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc.id", "at")).alias("owner"), F.max("doc.id").alias("highest")).filter("highest > owner.id")
+    earlier = earlier.select("anchor", "window", F.col("owner.id").alias("source"), F.col("owner.at").alias("source_at"))
     earlier = written(earlier, "earlier")  # both sides of the join are then shuffled for it, and Spark can split hot windows
-    checked = windows.join(earlier, ["anchor", "window"]).filter("id > owner").select("id", F.col("at").alias("first"), F.col("at").alias("last"))
+    checked = windows.join(earlier, ["anchor", "window"]).filter("doc.id > source").select("doc", F.col("at").alias("first"), F.lit(1).alias("windows"), "source", F.col("source_at").alias("at"))
 
-    spans = factors.unionByName(checked).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return cut_rows(rows.join(spans, "id", "left").select("id", "text", "spans"), window).withColumnRenamed("id", id_col)
+    matches = matched.unionByName(checked).groupBy("doc").agg(F.collect_set(F.struct("first", "windows", "source", "at")).alias("matches"))
+    return cut_rows(rows.join(matches, "doc", "left").select("doc.id", "text", "matches"), window).withColumnRenamed("id", id_col)
 
 
 def digest_query(docs: DataFrame) -> DataFrame:

@@ -65,3 +65,34 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.digest_query(docs).collect()), key=str)
     assert got == sorted([(1, 60, 0), (2, 61, 60), (2, 61, 60), (None, 60, 0), (3, 0, 0), (4, 0, 0)], key=str)
     assert substrings.digest_query(frame(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """They count as one document: neither empties the other, and each is cut at its own places."""
+    passage = " ".join(f"w{i}" for i in range(130))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, "tiny"), (1, "a b " + passage), (1, passage + " " + other), (2, "q " + other), (2, "z " * 90 + passage), (2, "z " * 90 + passage), (3, other + " " + passage)]
+    assert sorted(map(tuple, substrings.digest_query(frame(spark, rows)).collect())) == sorted(brute(rows))
+
+
+def test_factors(spark):
+    """The greedy parse: each factor is a run of at least a window that its source has at the place told."""
+    rows = corpus(120, seed=9)
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
+    found = 0
+    for r in substrings.without_repeats(frame(spark, rows)).collect():
+        covered = set()
+        for f in r.factors:
+            n = f.past - f.first
+            assert n >= 50 and f.source < r.doc_id
+            assert words[r.doc_id][f.first : f.past] == words[f.source][f.source_first : f.source_first + n]
+            covered |= set(range(f.first, f.past))
+            found += 1
+        assert len(covered) == r.n_removed
+    assert found > 30
+
+
+def test_string_ids(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [("b", passage), ("a", "x " + passage), ("c", None)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.digest_query(docs).collect()) == [("a", 0), ("b", 60), ("c", 0)]
