@@ -8,10 +8,12 @@ allocated by an explicit rule.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_batches
 
 RULES = ("start", "most", "share")
+#: The library's pattern matcher overflows its stack on longer runs of white space; texts that have one are matched apart.
+BLANK_RUN = re.compile(r"\s{50000}")
 SCHEMA = "field string, section int, first_char long, past_char long, n_tokens double, n_crossing long"
 
 
@@ -28,13 +32,18 @@ class Encoder:
     def __init__(self, data: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
     def ends(self, text: str) -> np.ndarray:
         """The byte after each token."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        if BLANK_RUN.search(text):
+            ids = [i for piece in self.pieces.finditer(text) for i in self.encoding._encode_single_piece(piece.group().encode())]
+        else:
+            ids = self.encoding.encode_ordinary(text)
+        return np.cumsum(self.lengths[np.array(ids, np.int64)])
 
 
 _loaded: dict[tuple[int, str], Encoder] = {}
@@ -98,7 +107,8 @@ def attributed_tokens(docs: DataFrame, ranks_path: str, pattern: str, fields: tu
 
     The fields are joined by line feeds and encoded once; a section is a line of a field, with the line feed
     after it; first_char and past_char are code points of the joined text. Null fields count as empty, so an
-    empty document has one section without tokens for each field. Repeated rows give their sections again.
+    empty document has one section without tokens for each field. Repeated rows give their sections again, a null
+    id stays null, an empty table gives an empty one; very long texts are read whole, other columns not at all.
     A document's tokens add up over its sections whatever the rule. No shuffle; the driver reads the vocabulary
     file, of fixed size, and sends it to the workers.
     """

@@ -83,3 +83,16 @@ def test_query_and_odd_rows(spark, library):
     assert tokencounts.lines_query(frame(spark, []), RANKS, PATTERN).count() == 0
     with pytest.raises(ValueError):
         tokencounts.attributed_tokens(frame(spark, []), RANKS, PATTERN, rule="end")
+
+
+def test_very_long_runs(spark):
+    """Runs of white space that the library cannot match, and a word without end, give the tokens of their pieces."""
+    encoder = tokencounts.Encoder(open(RANKS, "rb").read(), PATTERN)
+    short = ["ab  cd " + " " * 300 + "x\t\t \n\n y", "\x1c \x1d z\u2003\u00a0 q"]
+    for text in short:
+        by_pieces = [i for p in encoder.pieces.finditer(text) for i in encoder.encoding._encode_single_piece(p.group().encode())]
+        assert by_pieces == encoder.encoding.encode_ordinary(text)
+    rows = [(1, " " * 2_000_000), (2, "w" * 500_000), (3, "a" + " \t" * 100_000 + "\nb")]
+    got = tokencounts.lines_query(frame(spark, rows), RANKS, PATTERN).collect()
+    assert sorted((r.doc_id, r.section, r.past_char - r.first_char) for r in got) == [(1, 0, 2_000_000), (2, 0, 500_000), (3, 0, 200_002), (3, 1, 1)]
+    assert all(r.n_tokens > 0 for r in got)
