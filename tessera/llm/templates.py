@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, written
+from .common import as_bytes, fresh, map_batches, written
 
 DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -73,8 +73,8 @@ def token_rows(joined: DataFrame, depth: int) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs: int, keep_first: bool) -> DataFrame:
-    """(id, dropped) for the rows (id, text) that have lines of recurring templates."""
-    lines = written(line_rows(rows.filter("id IS NOT NULL"), depth), "lines")
+    """(id, dropped) for the rows (id, text) that have lines of recurring templates; id is a struct of id and digest of the text."""
+    lines = written(line_rows(rows.filter("id.id IS NOT NULL"), depth), "lines")
     often = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     often = written(often, "often")  # as below: both sides of the join are then shuffled for it, and Spark can split hot leaves
     listed = lines.join(often, "leaf", "left_semi").groupBy("id").agg(F.collect_list("line").alias("listed"))
@@ -90,10 +90,10 @@ def recurring_lines(rows: DataFrame, depth: int, constant_share: float, min_docs
     sized = written(sized, "sized")  # both sides of the join are then shuffled for it, and Spark can split hot lines
 
     told = written(parsed.select("id", "line", "leaf", "content").join(sized, ["leaf", "content"]).select("id", "line", "leaf", "template"), "told")
-    spread = told.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
+    spread = told.select("leaf", "template", "id.id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
     spread = written(spread.filter(F.col("docs") >= min_docs).drop("docs"), "spread")
     gone = told.join(spread, ["leaf", "template"])
-    return (gone.filter("id > first") if keep_first else gone).groupBy("id").agg(F.collect_set("line").alias("dropped"))
+    return (gone.filter("id.id > first") if keep_first else gone).groupBy("id").agg(F.collect_set("line").alias("dropped"))
 
 
 def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0.5, min_docs: int = 10, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", name: str = "parsed") -> DataFrame:
@@ -102,20 +102,28 @@ def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0
     A line is dropped if its template has constants at a share of at least constant_share of its places and is in
     at least min_docs documents; with keep_first the document of smallest id keeps it. A token is constant in a
     leaf's place if at least min_docs lines have it there and it has no digit. Lines without a token stay.
-    n_lines counts the lines with a token. Null texts stay null. A row with a null id keeps its lines and does not
-    count; rows of one id count as one document.
+    n_lines counts the lines with a token. Null texts stay null, empty ones empty. A row with a null id keeps its
+    lines and does not count; rows of one id count as one document, whether their texts are equal or not. An empty table gives an empty one. Other columns
+    may have any name but that of the struct, which is an error.
 
     Leaves, places and templates are aggregated, never gathered; different lines count once, so a hot line is one
     row from its leaf on.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first).select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped"))
-    out = docs.join(dropped.hint("merge"), docs[id_col] == dropped["__id"], "left").drop("__id")
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"There is a column {name} already")
+    digest = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("id"), F.col(text_col).alias("text"))
+    dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first)
+    own_id, own_digest, gone = (fresh(docs, f"dropped_{c}") for c in ("id", "digest", "lines"))
+    dropped = dropped.select(F.col("id.id").alias(own_id), F.col("id.digest").alias(own_digest), F.col("dropped").alias(gone))
+    same = (F.col(f"`{id_col}`") == F.col(own_id)) & (digest == F.col(own_digest))
+    out = docs.join(dropped.hint("merge"), same, "left").drop(own_id, own_digest)
     split = F.split(F.col(text_col), "\n")
-    gone = F.coalesce("__dropped", F.array().cast("array<int>"))
-    kept = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))  # by a hash set, in order
+    kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     n_lines = F.size(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumn(name, F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))).drop("__dropped")
+    n_dropped = F.coalesce(F.size(F.col(gone)), F.lit(0))
+    return out.withColumn(name, F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"))).drop(gone)
 
 
 def lines_query(docs: DataFrame) -> DataFrame:
@@ -125,11 +133,15 @@ def lines_query(docs: DataFrame) -> DataFrame:
 
 
 def deduped_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the kept lines as their text; n_chars, where there is one, follows the text."""
-    out = without_templates(docs, name="__parsed").withColumn("text", F.col("__parsed.kept_text"))
+    """The rows of docs with the kept lines as their text; n_chars, where there is one, follows the text.
+
+    Nulls, empty texts, repeated rows and other columns as in without_templates(): every row stays.
+    """
+    name = fresh(docs, "parsed")
+    out = without_templates(docs, name=name).withColumn("text", F.col(f"{name}.kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

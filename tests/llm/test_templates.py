@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tessera.llm import templates
 
 from .texts import corpus, frame, sentence
@@ -77,3 +79,26 @@ def test_rows_keep_their_columns(spark):
 def test_repeated_rows_count_once(spark):
     own = [(7, "Read more of this")] * 12 + [(9, "x")]
     assert {r.n_dropped for r in templates.lines_query(frame(spark, own)).collect()} == {0}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """A line goes from the row that has it, not from the same place of another row of the id."""
+    own = [(k, "Read more of this") for k in range(12)] + [(20, "first\nRead more of this"), (20, "Read more of this\nkept"), (20, "other\nlines")]
+    out = templates.without_templates(frame(spark, own)).filter("doc_id = 20").select("parsed.kept_text", "parsed.n_dropped").collect()
+    assert sorted(map(tuple, out)) == [("first", 1), ("kept", 1), ("other\nlines", 0)]
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, [(1, "a", 2, 3, 4, 5)], "doc_id long, text string, __id int, __dropped int, __parsed int, dropped_lines int")
+    got = templates.deduped_rows(docs)
+    assert got.columns == docs.columns and list(map(tuple, got.collect())) == [(1, "a", 2, 3, 4, 5)]
+    with pytest.raises(ValueError):
+        templates.without_templates(docs, name="__parsed")
+
+
+def test_very_many_lines(spark):
+    """Lines are told from dropped ones without comparing each with each."""
+    long = "\n".join(["Read more of this"] * 60_000 + ["end"])
+    own = [(k, "Read more of this") for k in range(12)] + [(50, long)]
+    row = templates.without_templates(frame(spark, own)).filter("doc_id = 50").select("parsed.*").first()
+    assert (row.kept_text, row.n_dropped) == ("end", 60_000)
