@@ -21,8 +21,6 @@ from .common import written
 STEPS, ROUNDS = 6, 8
 #: Digits that the exponent is rounded to, so that the order of a sum does not show.
 DIGITS = 9
-#: Leading bits of a block's place that bins have when a pass is cut.
-BIN_BITS = 8
 #: Sources that are broadcast at most (a name and a few numbers each); more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -123,7 +121,7 @@ def schedule(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str
     hinted = F.broadcast(sources) if few else sources
     blocks = counted.join(hinted.select("source", "blocks", "passes", "left").filter("left > 0"), "source")
     blocks = blocks.withColumn("block", block_of(mix.seed)).groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.first("passes").alias("passes"), F.first("left").alias("left"))
-    blocks = blocks.withColumn("place", block_place(F.col("passes"), mix.seed)).withColumn("bin", F.shiftright("place", 32 - BIN_BITS))
+    blocks = blocks.withColumn("place", block_place(F.col("passes"), mix.seed)).withColumn("bin", F.shiftright("place", 32 - bin_bits(sources)))
     blocks = written(blocks, "blocks")
     bins = blocks.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.first("left").alias("left"))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))
@@ -135,6 +133,12 @@ def schedule(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str
     return counted, sources.join(cut, "source", "left")
 
 
+def bin_bits(sources: DataFrame) -> int:
+    """Leading bits of a block's place that bins have when a pass is cut: as many bins as blocks in a bin for the largest source."""
+    most = sources.agg(F.max("blocks")).first()[0] or 1
+    return min(31, max(4, math.ceil(math.log2(most) / 2)))
+
+
 def block_of(seed: int) -> Column:
     """The block of a document in its source."""
     return place(F.lit(f"{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("null"))) % F.col("blocks")
