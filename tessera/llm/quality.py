@@ -158,15 +158,20 @@ def repetition_profile(docs: DataFrame, least: int = 8, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_covered_percent: int = 30, max_longest: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, max_covered_percent: int = 30, max_longest: int = 200, max_longest_percent: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """repetition_profile with base_failed and kept.
 
     base_failed: fewer words than min_words, or more than max_covered_percent of them in repeats. kept: not
-    base_failed, and no repeat is longer than max_longest words.
+    base_failed, and the longest repeat has at most max_longest words and max_longest_percent of the text's. Half of
+    what may be covered is what a passage and its copy leave to each; a longer one overlaps itself, as a loop does.
+
+    Null and empty texts have no words and fail; equal rows give equal rows; a null id stays null; an empty table
+    gives an empty one; texts are read whole, other columns not at all.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_covered_percent)
     out = repetition_profile(docs, id_col=id_col, text_col=text_col).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= max_longest))
+    long = (F.col("longest_repeat") > max_longest) | (F.col("longest_repeat") * 100 > F.col("n_words") * max_longest_percent)
+    return out.withColumn("kept", ~F.col("base_failed") & ~long)
 
 
 def rules_query(docs: DataFrame) -> DataFrame:
@@ -174,15 +179,18 @@ def rules_query(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def kept_documents(docs: DataFrame, min_words: int = 20, max_covered_percent: int = 30, max_longest: int = 200, text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality_rules keeps, all columns unchanged, filtered in one pass without a join."""
+def kept_documents(docs: DataFrame, min_words: int = 20, max_covered_percent: int = 30, max_longest: int = 200, max_longest_percent: int = 15, text_col: str = "text") -> DataFrame:
+    """The rows of docs that quality_rules keeps, all columns unchanged, filtered in one pass without a join.
+
+    Null and empty texts go; repeated rows stay or go alike; ids are not looked at.
+    """
     at = docs.columns.index(text_col)
 
     def kept_rows(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         numbers = pa.array(np.arange(batch.num_rows))
         for part in step(pa.RecordBatch.from_arrays([numbers, batch.column(at)], names=["id", "text"]), 8):
             n, covered, longest = (part.column(k).to_numpy() for k in ("n_words", "n_repeat_words", "longest_repeat"))
-            good = (n >= min_words) & (covered * 100 <= n * max_covered_percent) & (longest <= max_longest)
+            good = (n >= min_words) & (covered * 100 <= n * max_covered_percent) & (longest <= max_longest) & (longest * 100 <= n * max_longest_percent)
             yield batch.take(part.column("id").filter(pa.array(good)))
 
     return map_batches(docs, kept_rows, docs.schema)
@@ -194,7 +202,8 @@ win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS pos, w FROM w WHERE len(w
 keyed AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 7], ' ')) AS k FROM win),
 twice AS (SELECT doc_id, pos, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT pos + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
-long AS (SELECT doc_id, md5(array_to_string(w.w[pos:pos + 200], ' ')) AS k FROM twice JOIN w USING (doc_id) WHERE pos + 200 <= len(w.w)),
+size AS (SELECT doc_id, w, least(201, greatest(8, len(w) * 15 // 100 + 1)) AS n FROM w),
+long AS (SELECT doc_id, md5(array_to_string(size.w[pos:pos + n - 1], ' ')) AS k FROM twice JOIN size USING (doc_id) WHERE pos + n - 1 <= len(size.w)),
 longer AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, k FROM long GROUP BY doc_id, k HAVING count(*) > 1)),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),

@@ -27,7 +27,7 @@ def brute(text):
             dup += line in seen
             seen.add(line)
     failed = n < 20 or 100 * sum(covered) > 30 * n
-    return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, sum(covered), failed, not failed and longest_repeat(words) <= 200
+    return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, sum(covered), failed, not failed and longest_repeat(words) <= min(200, 15 * n / 100)
 
 
 def test_query(spark):
@@ -46,3 +46,22 @@ def test_kept_documents_are_those_of_the_rules(spark):
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == kept
     assert quality.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_verdict_goes_beyond_the_base_rules(spark):
+    """A loop that overlaps itself and a repeat without end fail though little enough is covered."""
+    words = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    loop = "ha " * 25 + words(75, "v")
+    long = f"{words(205, 'w')} {words(1200, 'v')} {words(205, 'w')}"
+    pair = f"{words(14, 'w')} {words(72, 'v')} {words(14, 'w')}"
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_rules(frame(spark, [(1, loop), (2, long), (3, pair)])).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
+    assert quality.quality_rules(frame(spark, [])).count() == 0
+
+
+def test_very_long_text(spark):
+    """Half a million words, all different but for one passage and its copy."""
+    words = [f"w{i}" for i in range(500_000)]
+    words[400_000:400_030] = words[:30]
+    row = quality.quality_rules(frame(spark, [(1, " ".join(words))])).first()
+    assert (row.n_words, row.n_repeat_words, row.longest_repeat, row.kept) == (500_000, 60, 30, True)
