@@ -8,6 +8,7 @@ the share of equal smallest hashes estimates the likeness of their phrase sets.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
 #: Hashes in a fingerprint, of 32 bits each.
 SIZE = 64
-#: Documents that a range of ids is made for, and ranges at most.
-RANGE_DOCS, RANGES = 400, 65_536
+#: Documents that a range of ids is made for, ranges at most, and sampled keys for each.
+RANGE_DOCS, RANGES, SAMPLE = 400, 65_536, 8
 
 
 class Phrases:
@@ -79,67 +82,79 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
-def id_ranges(docs: DataFrame, id_col: str) -> np.ndarray:
-    """The lowest id of each range but the first: ranges of about RANGE_DOCS documents, RANGES of them at most."""
-    n = docs.count()
+def range_cuts(rows: DataFrame) -> list[tuple]:
+    """The lowest key of each range but the first, for keys (named, id, digest): ranges of about RANGE_DOCS rows, RANGES of them at most.
+
+    The bounds are quantiles of a sample: the keys of smallest hashes, SAMPLE for each range.
+    """
+    n = rows.count()
     ranges = max(1, min(RANGES, n // RANGE_DOCS))
     if ranges == 1:
-        return np.empty(0, np.int64)
-    share = [k / ranges for k in range(1, ranges)]
-    cuts = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)), F.lit(10 * ranges)).alias("cuts")).first().cuts
-    return np.unique(np.array([c for c in cuts or [] if c is not None], np.int64))
+        return []
+    least = rows.select("key", F.xxhash64("key", F.lit(5)).alias("h")).orderBy("h").limit(SAMPLE * ranges)
+    own = sorted({tuple(r.key) for r in least.select("key").collect()}, key=order_of)
+    return sorted({own[k * len(own) // ranges] for k in range(1, ranges)}, key=order_of)
+
+
+def order_of(key: tuple) -> tuple:
+    """A key (named, id, digest) as Python orders it: nulls below all ids."""
+    named, own, digest = key
+    return (True, own, digest) if named else (False, digest)
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs, with the fingerprint of its text, of its edited text and of the next document.
 
-    The next document is the next lower id_col (null lowest, equal ids by digest of the text); after the last
-    comes the first. The edited text has the last floor(n/3) code points replaced by the first as many (or all)
-    of the next document. Null texts count as empty; a single document is its own next.
+    The next document is the next lower id_col, of whatever type (null lowest, equal ids by digest of the text);
+    after the last comes the first. The edited text has the last floor(n/3) code points replaced by the first as many
+    (or all) of the next document. Null texts count as empty; a single document is its own next; an empty table gives
+    an empty one; other columns are not read.
 
-    Documents are dealt by ranges of ids, one shuffle of the texts; the highest document of each range also goes
-    to the range above as its lookahead. Workers pass each range in order and hold two documents at a time. The
-    bounds of the ranges (RANGES at most) are the only data on the driver.
+    Documents are dealt by ranges of ids and digests, one shuffle of the texts; the highest document of each range
+    also goes to the range above as its lookahead. Workers pass each range in order and hold two documents at a time.
+    Rows of equal id and text share a range. The bounds of the ranges (RANGES at most) and the sample that they are
+    taken from are the only data on the driver.
     """
     spark = docs.sparkSession
-    id_value = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), id_value.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = id_ranges(rows.select("key"), "key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col(id_col).isNotNull().alias("named"), F.col(id_col).alias("id"), (-F.shiftright(F.xxhash64(text), 1)).alias("digest"))
+    rows = docs.select(key.alias("key"), text.alias("text"))
+    cuts = [order_of(c) for c in range_cuts(rows)]
 
     @F.pandas_udf("int")
-    def range_of(key):
+    def range_of(named, own, digest):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+        keys = ((True, i, d) if n else (False, d) for n, i, d in zip(named, own, digest))
+        return pd.Series([bisect_right(cuts, k) for k in keys], dtype="int32")
 
-    heads = rows.select("key", range_of("key").alias("part")).groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    above = {h.key: heads[(k + 1) % len(heads)].part for k, h in enumerate(heads)}
-    keys = np.array(sorted(above), np.int64)
-    parts = np.array([above[k] for k in keys.tolist()], np.int32)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    own_id = F.coalesce("key.id", F.lit(0)) if whole else F.col("key.id")  # pandas would make whole numbers with nulls floats
+    part = range_of("key.named", own_id, "key.digest")
+    heads = sorted((r.part, tuple(r.key)) for r in rows.groupBy(part.alias("part")).agg(F.max("key").alias("key")).collect())
+    ahead = {key: heads[(k + 1) % len(heads)][0] for k, (_, key) in enumerate(heads)}
 
     @F.pandas_udf("int")
-    def lookahead_of(key):
+    def lookahead_of(named, own, digest):
         import pandas as pd
 
-        own = key.to_numpy()
-        at = np.searchsorted(keys, own).clip(max=len(keys) - 1)
-        return pd.Series(np.where(keys[at] == own, parts[at], -1).astype(np.int32))
+        return pd.Series([ahead.get((bool(n), i if n else None, d), -1) for n, i, d in zip(named, own, digest)], dtype="int32")
 
-    dealt = rows.withColumn("part", range_of("key")).withColumn("ahead", lookahead_of("key"))
+    dealt = rows.withColumn("part", part).withColumn("ahead", lookahead_of("key.named", own_id, "key.digest"))
     places = F.when(F.col("ahead") < 0, F.array(F.struct(F.col("part"), F.lit(0).alias("later")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("later")), F.struct(F.col("ahead").alias("part"), F.lit(1).alias("later"))))
-    dealt = dealt.withColumn("place", F.explode(places)).select(F.col("place.part").alias("part"), F.col("place.later").alias("later"), "id", "key", "text")
+    dealt = dealt.withColumn("place", F.explode(places)).select(F.col("place.part").alias("part"), F.col("place.later").alias("later"), "key", "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(partitions, "part").sortWithinPartitions("part", "later", F.desc("key"), F.md5("text"))
+    ordered = dealt.repartition(partitions, "part").sortWithinPartitions("part", "later", F.desc("key"))
     small_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = ordered.select("part", "later", "id", "text").mapInArrow(passed, "id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType
+    out = ordered.select("part", "later", F.col("key.id").alias("id"), "text").mapInArrow(lambda batches: passed(batches, to_arrow_type(kind)), f"id {kind.simpleString()}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumnRenamed("id", id_col)
 
 
 class Pending:
     """A document that waits for the next one."""
 
-    def __init__(self, doc_id: int | None, text: str):
+    def __init__(self, doc_id, text: str):
         self.id, self.text = doc_id, text
         self.cut = len(text) - len(text) // 3
         self.prefix = Phrases().read(text[: self.cut])
@@ -151,10 +166,10 @@ class Pending:
         return (self.id, len(self.text), self.text[: self.cut] + tail, shown(self.print), shown(edited), likeness(self.print, edited), likeness(self.print, following.print))
 
 
-def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passed(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of (part, later, id, text) in order to result rows; of the later rows of a part only the first counts."""
     names = ["id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     held: Pending | None = None
     held_part = None
     for batch in batches:

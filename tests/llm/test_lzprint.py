@@ -70,3 +70,30 @@ def test_fingerprints_of_whole_texts(spark):
     rows = corpus(40)
     got = {r.doc_id: r.fingerprint for r in lzprint.fingerprint_documents(frame(spark, rows)).collect()}
     assert got == {d: hexed(brute_print(t or "")) for d, t in rows}
+
+
+def test_string_ids_and_equal_ids(spark, monkeypatch):
+    """Ids of any type; a hot id is dealt over several ranges by the digests of its texts."""
+    monkeypatch.setattr(lzprint, "RANGE_DOCS", 3)
+    rows = [(f"k{d:04d}", t) for d, t in corpus(40)]
+    got = {r.doc_id: tuple(r)[1:] for r in lzprint.digest_query(frame(spark, rows, "doc_id string, text string")).collect()}
+    assert got == {r[0]: r[1:] for r in strings(rows)}
+    large = [((1 << 62) + k, f"large {k}") for k in range(9)] + [(None, "none")]
+    assert sorted((r.doc_id or 0, r.near_next < 1) for r in lzprint.with_edited(frame(spark, large)).collect()) == sorted((d or 0, True) for d, _ in large)
+    hot = [(7, f"text {k} of many") for k in range(60)] + [(None, f"none {k}") for k in range(20)] + [(7, "text 3 of many"), (1, "x")]
+    out = lzprint.with_edited(frame(spark, hot)).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in out) == sorted((str(d), len(t)) for d, t in hot)
+    follows = [r.edited_text[len(r.edited_text) - r.n_chars // 3 :] for r in out if r.n_chars > 3]
+    assert sum(f.startswith("text") for f in follows) == 60 and follows.count("no") == 19
+
+
+def strings(rows):
+    numbers = {d: k for k, (d, _) in enumerate(sorted(rows))}
+    names = {k: d for d, k in numbers.items()}
+    return [(names[r[0]], *r[1:]) for r in brute([(numbers[d], t) for d, t in rows])]
+
+
+def test_long_text(spark):
+    rows = [(1, "ab" * 300_000), (2, "c"), (3, None)]
+    got = sorted(map(tuple, lzprint.digest_query(frame(spark, rows)).collect()))
+    assert got == sorted(brute(rows))
