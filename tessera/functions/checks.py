@@ -61,8 +61,13 @@ def unreviewed_overlaps(df: DataFrame, code: str, label: str, reviewed: dict[str
 
 
 def without_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows whose columns equal no row of a small table of pairs."""
-    return df.join(F.broadcast(pairs), pairs.columns, "left_anti")
+    """Rows whose columns equal no row of a table of pairs; Spark broadcasts it if its size allows."""
+    return df.join(pairs, pairs.columns, "left_anti")
+
+
+def dropped_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pairs, rows): how many rows without_pairs() leaves out for each pair that it meets, to be told."""
+    return df.join(pairs, pairs.columns, "left_semi").groupBy(*pairs.columns).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def name_problems(names: dict[str, DataFrame], label: str, codes: dict[str, str], expected: set[str]) -> list[str]:

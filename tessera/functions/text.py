@@ -79,9 +79,9 @@ def icd_prefix_error(c: Column) -> Column:
     own = icd_prefixes(c)
     bad = F.filter(own, lambda p: (p != "") & ~p.rlike(ICD_PREFIX))
     return (
-        F.when(c.isNull(), F.lit("ICD-10 prefix list is missing"))
-        .when(F.array_contains(own, ""), F.concat(F.lit("ICD-10 prefix list contains an empty value: "), c))
-        .when(F.size(bad) > 0, F.concat(F.lit("Invalid ICD-10 prefix "), F.array_join(bad, ", ")))
+        F.when(c.isNull(), F.lit("no list"))
+        .when(F.array_contains(own, ""), F.concat(F.lit("nothing between two bars of "), c))
+        .when(F.size(bad) > 0, F.concat(F.lit("no letter and digit at the start of "), F.array_join(bad, ", ")))
     )
 
 
@@ -103,8 +103,10 @@ def numbered_id(prefix: str, number: Column, digits: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
 
 
-def dummy_term(term: str, fields: list[str]) -> tuple[str, str] | None:
-    """(field, category) of a term field__category, by the longest field that fits."""
-    fits = [f for f in fields if term.startswith(f"{f}__")]
-    best = max(fits, key=len, default=None)
-    return best and (best, term[len(best) + 2 :])
+def indicator(term: str, fields: list[str]) -> tuple[str, str] | None:
+    """What a term field__category names: the cut between both is the last one that leaves a known field before it."""
+    known, cut = set(fields), len(term)
+    while (cut := term.rfind("__", 0, cut + 1 if cut < len(term) else cut)) > 0:
+        if term[:cut] in known:
+            return term[:cut], term[cut + 2 :]
+    return None

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a code map that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of a table that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint, if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The table with a broadcast hint, if a count of its rows and of the bytes of their values shows that it is small."""
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns])
+    told = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if told.n <= rows and told["size"] <= BROADCAST_BYTES else df
 
 
-def labels_by_key(mapping: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, labels): each key once, with its different labels in order."""
-    return mapping.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+def labels_by_key(mapping: DataFrame, key: str, label: str, order: str | None = None) -> DataFrame:
+    """(key, labels): each key once, with its different labels, by their first place in `order`, or by name without one."""
+    if order is None:
+        return mapping.groupBy(key).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    firsts = mapping.groupBy(key, label).agg(F.min(order).alias("__at")).filter(F.col(label).isNotNull())
+    own = F.array_sort(F.collect_list(F.struct("__at", label)))
+    return firsts.groupBy(key).agg(F.transform(own, lambda x: x[label]).alias("labels"))
 
 
-def exact_labels(codes: DataFrame, code: str, mapping: DataFrame, key: str, label: str, normal=lambda c: c) -> DataFrame:
+def exact_labels(codes: DataFrame, code: str, mapping: DataFrame, key: str, label: str, normal=lambda c: c, order: str | None = None) -> DataFrame:
     """(code, labels) for each different code that the map has; normal() brings codes and keys to one form."""
-    lookup = labels_by_key(mapping.select(normal(F.col(key)).alias("__key"), label), "__key", label)
+    lookup = labels_by_key(mapping.select(normal(F.col(key)).alias("__key"), label, *([order] if order else [])), "__key", label, order)
     different = codes.select(code).filter(F.col(code).isNotNull()).distinct()
     return different.withColumn("__key", normal(F.col(code))).join(small(lookup), "__key").select(code, "labels")
 
 
-def prefix_labels(codes: DataFrame, code: str, mapping: DataFrame, prefix: str, label: str) -> DataFrame:
+def prefix_labels(codes: DataFrame, code: str, mapping: DataFrame, prefix: str, label: str, order: str | None = None) -> DataFrame:
     """(code, labels) for each different code that starts with a prefix of the map, with the labels of all such prefixes.
 
     An equi-join on the code's prefixes of the lengths that the map has, not a comparison with every prefix.
@@ -36,8 +44,8 @@ def prefix_labels(codes: DataFrame, code: str, mapping: DataFrame, prefix: str,
     different = codes.select(code).filter(F.col(code).isNotNull()).distinct()
     own = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(code)), lambda n: F.substring(F.col(code), F.lit(1), n))
     expanded = different.select(code, F.explode(own).alias("__key"))
-    found = expanded.join(small(mapping.select(F.col(prefix).alias("__key"), label).distinct()), "__key")
-    return found.groupBy(code).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    found = expanded.join(small(mapping.select(F.col(prefix).alias("__key"), label, *([order] if order else [])).distinct()), "__key")
+    return labels_by_key(found, code, label, order)
 
 
 def with_labels(df: DataFrame, code: str, labels: DataFrame, name: str) -> DataFrame:
@@ -78,11 +86,16 @@ def reconciled(first: Column, second: Column, third: Column) -> Column:
 def map_evidence(evidence: DataFrame, icd: DataFrame, snomed: DataFrame, drugs: DataFrame) -> DataFrame:
     """Evidence with icd_comorbidity, snomed_comorbidity and medication_comorbidity, arrays of conditions.
 
-    Each different code is mapped once, however often it occurs.
+    Each different code is mapped once, however often it occurs. Labels are in the order of the maps where they have
+    a column source_row, else by name.
     """
-    found = with_labels(evidence, "icd_code", prefix_labels(evidence, "icd_code", icd, "icd_code", "comorbidity"), "icd_comorbidity")
-    found = with_labels(found, "snomed_code", exact_labels(evidence, "snomed_code", snomed, "snomed_code", "comorbidity", F.trim), "snomed_comorbidity")
-    names = exact_labels(evidence, "medication_name", drugs, "medication_name", "comorbidity", lambda c: F.lower(F.trim(c)))
+
+    def order(mapping: DataFrame) -> str | None:
+        return "source_row" if "source_row" in mapping.columns else None
+
+    found = with_labels(evidence, "icd_code", prefix_labels(evidence, "icd_code", icd, "icd_code", "comorbidity", order(icd)), "icd_comorbidity")
+    found = with_labels(found, "snomed_code", exact_labels(evidence, "snomed_code", snomed, "snomed_code", "comorbidity", F.trim, order(snomed)), "snomed_comorbidity")
+    names = exact_labels(evidence, "medication_name", drugs, "medication_name", "comorbidity", lambda c: F.lower(F.trim(c)), order(drugs))
     return with_labels(found, "medication_name", names, "medication_comorbidity")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import cut_points, ranges_for
+
 
 def score_counts(df: DataFrame, target: str, score: str, keys: list[str]) -> DataFrame:
     """(keys, score, positives, negatives) for each different score; nulls are left out."""
@@ -16,16 +20,23 @@ def score_counts(df: DataFrame, target: str, score: str, keys: list[str]) -> Dat
 def ranking(df: DataFrame, target: str, score: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, auroc, average_precision): ties count half in the first, and are one step in the second.
 
-    Scores are counted before they are ordered; what is ordered has a row for each different score.
+    Scores are counted before they are ordered, and running totals are taken within ranges of scores and over the
+    ranges, so that no task orders all different scores.
     """
     keys = list(keys or [])
     counts = score_counts(df, target, score, keys)
     if not keys:
         counts = counts.withColumn("__all", F.lit(1))
     by = keys or ["__all"]
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp = F.sum("positives").over(down), F.sum("negatives").over(down)
-    stepped = counts.withColumns({"tp": tp, "fp": fp})
+    part = cut_points(df, [score], ranges_for(df.count()))[score].part(F.col("score").cast("double"))
+    counts = counts.withColumn("__part", part)
+    ranges = counts.groupBy(*by, "__part").agg(F.sum("positives").alias("__p"), F.sum("negatives").alias("__n"))
+    above = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*by, "__part"])], F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__fp"))
+    down = Window.partitionBy(*by, "__part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    within = counts.withColumns({"__wp": F.sum("positives").over(down), "__wn": F.sum("negatives").over(down)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*by, "__part"])])
+    stepped = within.join(ranges, same).withColumns({"tp": F.col("__tp") + F.col("__wp"), "fp": F.col("__fp") + F.col("__wn")})
     area = F.sum(F.col("negatives") * (F.col("tp") - F.col("positives") / 2.0))
     precision = F.sum(F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
     p, n = F.sum("positives"), F.sum("negatives")

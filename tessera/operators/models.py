@@ -97,13 +97,16 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
             for q_key, q_vector, b_key, b_vector in zip(*(batch.column(c).to_pylist() for c in ("q_key", "q_vector", "b_key", "b_vector"))):
                 q, b = np.array(q_vector, np.float64), np.array(b_vector, np.float64)
                 keys, mine = np.array(b_key), np.array(q_key)
+                rough = (q**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * (q @ b.T)
+                if not itself:
+                    rough[mine[:, None] == keys] = np.inf
+                edge = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+                slack = 1e-9 * (1 + (q**2).sum(axis=1) + (b**2).sum(axis=1).max())  # more than the rounding of the products and of the distance
                 rows = []
                 for i in range(len(q)):
-                    far = np.round(np.sqrt(((b - q[i]) ** 2).sum(axis=1)), 9)
-                    if not itself:
-                        far = np.where(keys == mine[i], np.inf, far)
-                    at = np.lexsort((keys, far))[:k]
-                    rows += [(q_key[i], b_key[j], float(far[j])) for j in at if np.isfinite(far[j])]
+                    near = np.flatnonzero((rough[i] <= edge[i] + slack[i]) & np.isfinite(rough[i]))
+                    far = np.round(np.sqrt(((b[near] - q[i]) ** 2).sum(axis=1)), 9)
+                    rows += [(q_key[i], b_key[near[j]], float(far[j])) for j in np.lexsort((keys[near], far))[:k]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (own_type, own_type, pa.float64()))], names=["query", "neighbour", "distance"])
 
@@ -145,7 +148,7 @@ def cross_validated(df: DataFrame, folds: DataFrame, group: str, target: str, pr
     of jobs; the driver holds their metrics.
     """
     if not models:
-        raise ValueError("At least one model must be provided.")
+        raise ValueError("No model is chosen")
     dealt = df.join(folds.select(group, "fold"), group)
     numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
     out = []

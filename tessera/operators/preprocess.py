@@ -17,8 +17,12 @@ from ..functions.text import MISSING_LABEL
 BINARY = ("gender", "past_abx", "hospital_exposure_90d", "any_healthcare_exposure_90d", "asthma", "cancer", "copd", "hypertension", "ischaemic_heart_disease", "type2_diabetes", "prior_positive_esbl")
 #: Fixed: identifiers and outcome of the modelling table.
 IDENTIFIERS, TARGET = ("subject", "infection_id", "admission_date"), "esbl_status"
-#: Rounds of the imputer, and the ridge added to it.
-ROUNDS, RIDGE = 10, 1e-6
+#: Rounds of the imputer; patterns of missing values up to which each has an expression of its own.
+ROUNDS, PATTERNS = 10, 64
+#: The column of values that went through the imputer's steps.
+STEPPED = "__stepped"
+#: Fixed: rounds and least change of the search for the largest evidence, and the parameters of its gamma priors.
+EVIDENCE_ROUNDS, EVIDENCE_CHANGE, PRIOR = 300, 1e-3, 1e-6
 
 
 def features_and_target(df: DataFrame, target: str = TARGET, identifiers: tuple[str, ...] = IDENTIFIERS) -> tuple[DataFrame, DataFrame]:
@@ -70,13 +74,34 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {r.variable: r.best.value for r in counts.groupBy("variable").agg(F.max_by(F.struct("value"), F.struct("count", (-F.col("value")).alias("low"))).alias("best")).collect()}
 
 
+def bayesian_ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: float) -> np.ndarray:
+    """The coefficients of ridge regression whose penalty is the one of largest evidence, from centred sums of products.
+
+    The precisions of noise and coefficients are re-estimated in turn from the effective number of parameters.
+    """
+    values, vectors = np.linalg.eigh(gram)
+    values, along = np.maximum(values, 0.0), vectors.T @ xy
+    noise, weight, beta = n / max(yy, np.finfo(float).eps * n), 1.0, np.zeros(len(xy))
+    for _ in range(EVIDENCE_ROUNDS):
+        new = vectors @ (along / (values + weight / noise))
+        effective = float((noise * values / (weight + noise * values)).sum())
+        rest = max(yy - 2 * new @ xy + new @ gram @ new, 0.0)
+        weight = (effective + 2 * PRIOR) / (float(new @ new) + 2 * PRIOR)
+        noise = (n - effective + 2 * PRIOR) / (rest + 2 * PRIOR)
+        moved, beta = float(np.abs(new - beta).sum()), new
+        if moved < EVIDENCE_CHANGE:
+            break
+    return vectors @ (along / (values + weight / noise))
+
+
 @dataclass
 class Imputer:
-    """Round-robin ridge regression of each column with missing values on all others.
+    """Round-robin Bayesian ridge regression of each column with missing values on all others.
 
     In rows that lack the same columns an imputed value is a linear function of the others, so that counts, sums
     and products by pattern of missing values, one aggregation, are all that the rounds need; they run on
-    matrices of the size of the columns. One set of coefficients for each pattern results.
+    matrices of the size of the columns. One set of coefficients for each pattern results. The steps of the rounds are
+    kept too: rows of a pattern that training rows did not have go through them one after the other.
     """
 
     columns: list[str]
@@ -84,6 +109,8 @@ class Imputer:
     means: dict[str, float] = field(default_factory=dict)
     #: Pattern to column to coefficients over (1, columns).
     coefficients: dict[str, dict[str, list[float]]] = field(default_factory=dict)
+    #: (place of a column, coefficients over (1, columns)) for each regression of all rounds, in order.
+    steps: list[tuple[int, list[float]]] = field(default_factory=list)
 
     def pattern(self) -> Column:
         return F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in self.lacking]) if self.lacking else F.lit("")
@@ -111,29 +138,58 @@ class Imputer:
                 if g[k] == "1":
                     lift[g][at[c]] = 0
                     lift[g][at[c], 0] = self.means[c]
+        self.steps = []
         for _ in range(rounds):
             for k, c in enumerate(self.lacking):
                 j = at[c]
                 full = sum((lift[g] @ sums[g] @ lift[g].T for g in seen[c]), np.zeros((p + 1, p + 1)))
-                others = [i for i in range(p + 1) if i != j]
-                gram = full[np.ix_(others, others)]
-                ridge = np.diag([0.0, *[RIDGE * max(gram[i, i], 1.0) for i in range(1, p)]])
-                beta = np.linalg.lstsq(gram + ridge, full[others, j], rcond=None)[0]
+                beta = self.regression(full, j)
+                self.steps.append((j, beta.tolist()))
                 for g in sums:
                     if g[k] == "1":
-                        lift[g][j] = beta @ lift[g][others]
+                        lift[g][j] = beta @ lift[g]
         self.coefficients = {g: {c: lift[g][at[c]].tolist() for k, c in enumerate(self.lacking) if g[k] == "1"} for g in sums}
         return self
 
+    def regression(self, full: np.ndarray, j: int) -> np.ndarray:
+        """Coefficients over (1, columns), 0 for column j itself, from the sums of products of the rows that have it."""
+        n, p = full[0, 0], len(full) - 1
+        beta = np.zeros(p + 1)
+        if n:
+            others = [i for i in range(1, p + 1) if i != j]
+            mean = full[0] / n
+            centred = full - n * np.outer(mean, mean)
+            if others:
+                beta[others] = bayesian_ridge(centred[np.ix_(others, others)], centred[others, j], max(centred[j, j], 0.0), n)
+            beta[0] = mean[j] - beta[others] @ mean[others]
+        return beta
+
+    def stepped(self) -> Column:
+        """All values of a row, after a 1, when its missing ones have gone through the steps."""
+        start = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(float(self.means[c]))) for c in self.columns])
+        missing = F.array(F.lit(False), *[F.col(c).isNull() for c in self.columns])
+        steps = F.array(*[F.struct(F.lit(j).alias("at"), F.array(*map(F.lit, own)).alias("own")) for j, own in self.steps])
+
+        def taken(state: Column, step: Column) -> Column:
+            fitted = F.aggregate(F.zip_with(state, step["own"], lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+            return F.transform(state, lambda x, i: F.when((i == step["at"]) & F.get(missing, i), fitted).otherwise(x))
+
+        return F.aggregate(steps, start, taken)
+
+    def with_steps(self, df: DataFrame) -> DataFrame:
+        """df with what imputed() reads: a column of its own, as Spark evaluates equal nested expressions of one row wrongly."""
+        return df.withColumn(STEPPED, self.stepped()) if self.steps else df
+
     def imputed(self) -> dict[str, Column]:
-        """Each column with its missing values filled in; a pattern that training rows did not have gets the mean."""
+        """Each column with its missing values filled in, over with_steps()."""
         out = {}
         value = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.columns]]
-        for c in self.columns:
-            filled = F.lit(self.means[c])
-            for g, own in self.coefficients.items():
-                if c in own:
-                    filled = F.when(self.pattern() == g, sum((F.lit(w) * v for w, v in zip(own[c], value) if w), F.lit(0.0))).otherwise(filled)
+        for k, c in enumerate(self.columns):
+            filled = F.get(F.col(STEPPED), F.lit(k + 1)) if self.steps and c in self.lacking else F.lit(float(self.means.get(c, 0.0)))
+            if len(self.coefficients) <= PATTERNS:
+                for g, own in self.coefficients.items():
+                    if c in own:
+                        filled = F.when(self.pattern() == g, sum((F.lit(w) * v for w, v in zip(own[c], value) if w), F.lit(0.0))).otherwise(filled)
             out[c] = F.coalesce(F.col(c).cast("double"), filled)
         return out
 
@@ -159,7 +215,7 @@ class Preprocessor:
         self.imputer = Imputer(self.numeric).fit(train) if self.numeric else Imputer([])
         if self.numeric:
             own = self.numbers()
-            self.scale = population_scale(train.select(*[e.alias(c) for c, e in own.items()]), list(own))
+            self.scale = population_scale(self.imputer.with_steps(train).select(*[e.alias(c) for c, e in own.items()]), list(own))
         self.categories = frequent_categories(train, self.categorical, self.least) if self.categorical else {}
         if self.binary:
             self.mode = modes(train, self.binary)
@@ -177,7 +233,7 @@ class Preprocessor:
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """The prepared columns, after those to keep."""
         checks.require_columns(df, [*self.numeric, *self.categorical, *self.binary])
-        return df.select(*(keep or []), *[e.alias(c) for c, e in self.expressions().items()])
+        return self.imputer.with_steps(df).select(*(keep or []), *[e.alias(c) for c, e in self.expressions().items()])
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The fitted parameters as one row of JSON."""
@@ -187,6 +243,7 @@ class Preprocessor:
     def load(cls, spark: SparkSession, path: str) -> Preprocessor:
         own = json.loads(spark.read.text(path).first().value)
         own["imputer"] = Imputer(**own["imputer"])
+        own["imputer"].steps = [(j, list(w)) for j, w in own["imputer"].steps]
         own["scale"] = {k: tuple(v) for k, v in own["scale"].items()}
         own["categories"] = {k: (v[0], v[1]) for k, v in own["categories"].items()}
         return cls(**own)

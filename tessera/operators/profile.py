@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.text import with_missing_label
-from .ranks import cut_points, range_of
+from ..sources.tables import stored
+from .ranks import cut_points, quantiles, ranges_for
 
 #: Fixed: the quantiles of a summary, with their columns.
 QUANTILES = {"min": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "max": 1.0}
@@ -44,13 +42,16 @@ def adjusted_skewness(c: str) -> Column:
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each number column: count, mean, std, quantiles, missing count and rate, adjusted skewness; one pass."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    points = F.percentile("value", F.array(*map(F.lit, QUANTILES.values())))
+    """One row for each number column: count, mean, std, quantiles, missing count and rate, adjusted skewness.
+
+    One pass for the moments; the quantiles, exact, come from counts of ranges and the ranges that hold them.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
     n, rows = F.count("value"), F.count(F.lit(1))
-    out = long.groupBy("variable").agg(n.cast("double").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), points.alias("points"), (rows - n).alias("missing_count"), ((rows - n) / rows).alias("missing_rate"), adjusted_skewness("value").alias("skewness"))
-    named = [F.col("points")[k].alias(q) for k, q in enumerate(QUANTILES)]
-    return out.select("variable", "count", "mean", "std", *named, "missing_count", "missing_rate", "skewness")
+    told = long.groupBy("variable").agg(n.alias("n"), n.cast("double").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), (rows - n).alias("missing_count"), ((rows - n) / rows).alias("missing_rate"), adjusted_skewness("value").alias("skewness")).collect()
+    points = quantiles(long, {r.variable: r.n for r in told}, list(QUANTILES.values()))
+    kinds = ", ".join(["variable string", "count double", "mean double", "std double", *[f"{q} double" for q in QUANTILES], "missing_count long", "missing_rate double", "skewness double"])
+    return df.sparkSession.createDataFrame([(r.variable, r["count"], r["mean"], r["std"], *points[r.variable], r.missing_count, r.missing_rate, r.skewness) for r in told], kinds)
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,40 +90,64 @@ def with_missing_flags(df: DataFrame, columns: list[str]) -> tuple[DataFrame, li
     return out, out.columns
 
 
+def view_ranks(df: DataFrame, columns: list[str], lacking: set[str]) -> tuple[DataFrame, dict[tuple[str, str | None], str]]:
+    """(table, names): a row for each row of df with its centred average ranks, and their columns by view.
+
+    A view (column, other) ranks a column among the rows that have it and the other column too; (column, None) is
+    among all that have it. Rows are dealt by view and part; a part that is one value needs no order.
+    """
+    views = [(c, None) for c in columns] + [(c, o) for o in sorted(lacking) for c in columns if c != o]
+    value = {c: F.col(c).cast("double") for c in columns}
+    numbered = stored(df.select(F.monotonically_increasing_id().alias("__row"), *[e.alias(c) for c, e in value.items()]), "rows")
+    cuts = cut_points(numbered, columns, ranges_for(numbered.count()))
+    parted = numbered.withColumns({f"__part_{k}": cuts[c].part(F.col(c)) for k, c in enumerate(columns)})
+    own = []
+    for k, (c, o) in enumerate(views):
+        there = F.col(c).isNotNull() if o is None else F.col(c).isNotNull() & F.col(o).isNotNull()
+        own.append(F.when(there, F.struct(F.lit(k).alias("view"), F.col(f"__part_{columns.index(c)}").alias("part"), F.col(c).alias("value"))))
+    long = parted.select("__row", F.explode(F.array_compact(F.array(*own))).alias("x")).select("__row", "x.*")
+    sizes = long.groupBy("view", "part").agg(F.count(F.lit(1)).alias("n"), (F.min("value") == F.max("value")).alias("single"))
+    by = Window.partitionBy("view")
+    before = F.coalesce(F.sum("n").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stored(sizes.select("view", "part", "n", "single", (before - (F.sum("n").over(by) + 1) / 2).alias("shift")), "sizes")
+    told = long.join(F.broadcast(sizes), ["view", "part"])  # a row for each view and range
+    single = told.filter("single").select("__row", "view", (F.col("shift") + (F.col("n") + 1) / 2).alias("rank"))
+    within = Window.partitionBy("view", "part")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("view", "part", "value"))
+    mixed = told.filter("NOT single").select("__row", "view", (F.col("shift") + F.rank().over(within.orderBy("value")) + (ties - 1) / 2).alias("rank"))
+    names = {view: f"r{k}" for k, view in enumerate(views)}
+    wide = single.unionByName(mixed).groupBy("__row").agg(*[F.max(F.when(F.col("view") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(views))])
+    return wide, names
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable_1, variable_2, rho) for each ordered pair: rank correlation over rows that have both, 0 if undefined, 1 with itself.
 
-    Ranks come from counts of different values: a pair's values are counted, the counts are added up within ranges
-    of values and over the ranges, and the counted cells get their ranks by a join. No task sorts a whole column.
+    Each column is ranked once, and once more for each other column that lacks values; pairs whose rows are the same
+    share the ranks. Rows are brought together again by their number, and one aggregation gives the products of all pairs.
     """
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "variable_1 string, variable_2 string, rho double")
     if not pairs:
         return diagonal
-    value = {c: F.col(c).cast("double") for c in columns}
-    cuts = cut_points(df.select(*[e.alias(c) for c, e in value.items()]), columns)
-    part = {c: range_of(value[c], cuts[c]) for c in columns}
-    own = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), value[a].alias("x"), value[b].alias("y"), part[a].alias("px"), part[b].alias("py"))) for a, b in pairs]
-    keys = ["variable_1", "variable_2"]
-    cells = df.select(F.explode(F.array_compact(F.array(*own))).alias("p")).select("p.*").groupBy(*keys, "px", "x", "py", "y").agg(F.count(F.lit(1)).alias("n"))
-    ranked = cells
-    for v in ("x", "y"):
-        margin = cells.groupBy(*keys, f"p{v}", v).agg(F.sum("n").alias("m"))
-        before = F.sum("t").over(Window.partitionBy(*keys).orderBy(f"p{v}").rowsBetween(Window.unboundedPreceding, -1))
-        sums = margin.groupBy(*keys, f"p{v}").agg(F.sum("m").alias("t")).select(*keys, f"p{v}", F.coalesce(before, F.lit(0)).alias("before"))
-        upto = F.col("before") + F.sum("m").over(Window.partitionBy(*keys, f"p{v}").orderBy(v))
-        margin = margin.join(F.broadcast(sums), [*keys, f"p{v}"])  # a row for each pair and range
-        ranked = ranked.join(margin.select(*keys, f"p{v}", v, (upto - (F.col("m") - 1) / 2.0).alias(f"r{v}")), [*keys, f"p{v}", v])
-    n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
-    sxy, sxx, syy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
-    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    varies = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))  # not left to rounding
-    rho = F.when(varies, (n * sxy - sx * sy) / spread).otherwise(0.0)
-    found = ranked.groupBy(*keys).agg(rho.alias("rho"))
-    grid = df.sparkSession.createDataFrame(pairs, "variable_1 string, variable_2 string")
-    upper = grid.join(found, keys, "left").select(*keys, F.coalesce("rho", F.lit(0.0)).alias("rho"))
-    lower = upper.select(F.col("variable_2").alias("variable_1"), F.col("variable_1").alias("variable_2"), "rho")
-    return reduce(DataFrame.unionByName, [upper, lower, diagonal])
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in columns]).first()
+    lacking = {c for c in columns if counts[c] < counts["__rows"]}
+    wide, names = view_ranks(df, columns, lacking)
+
+    def rank(c: str, other: str) -> Column:
+        return F.col(names[c, other if other in lacking else None])
+
+    sums = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = rank(a, b), rank(b, a)
+        both = x.isNotNull() & y.isNotNull()
+        varies = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y)))  # not left to rounding
+        rho = F.sum(x * y) / F.sqrt(F.sum(F.when(both, x * x)) * F.sum(F.when(both, y * y)))
+        sums.append(F.when(varies, rho).otherwise(0.0).alias(f"p{k}"))
+    found = wide.agg(*sums).first()
+    rows = [(a, b, found[f"p{k}"] or 0.0) for k, (a, b) in enumerate(pairs)]
+    upper = df.sparkSession.createDataFrame([*rows, *[(b, a, rho) for a, b, rho in rows]], "variable_1 string, variable_2 string, rho double")
+    return upper.unionByName(diagonal)
 
 
 def dependencies(df: DataFrame, columns: list[str]) -> DataFrame:

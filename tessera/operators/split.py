@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.values import hash_rank
-from .ranks import placed
+from .ranks import placed, quantiles
 
 
 def group_labels(df: DataFrame, group: str, target: str, order: list[str]) -> DataFrame:
@@ -44,9 +44,9 @@ def temporal_sides(df: DataFrame, group: str, date: str, test_size: float = 0.2)
     checks.ensure(checks.null_keys(df, [date]), "Null values in")
     first = df.groupBy(group).agg(F.min(date).alias("__first"))
     micros = F.unix_micros(F.col("__first").cast("timestamp"))
-    cut = first.agg(F.percentile(micros, F.lit(1.0 - test_size)).cast("long").alias("__cut"))
-    sided = first.crossJoin(F.broadcast(cut))  # one row
-    sided = sided.select(group, (micros <= F.col("__cut")).alias("__early"), F.timestamp_micros("__cut").cast("timestamp_ntz").alias("__cutoff"))
+    cut = quantiles(first.select(F.lit("first").alias("variable"), micros.cast("double").alias("value")), {"first": first.count()}, [1.0 - test_size])["first"][0]
+    cutoff = F.lit(None if cut is None else int(cut)).cast("long")
+    sided = first.select(group, (micros <= cutoff).alias("__early"), F.timestamp_micros(cutoff).cast("timestamp_ntz").alias("__cutoff"))
     own = F.when(F.col("__early") & (F.col(date) <= F.col("__cutoff")), "train").when(F.col("__early"), "dropped").otherwise("test")
     return df.join(sided, group).withColumn("side", own).drop("__early", "__cutoff")
 
@@ -57,6 +57,15 @@ def split_statistics(df: DataFrame, group: str, target: str) -> DataFrame:
     return df.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(group).alias("n_groups"), positive.cast("long").alias("n_positive"), F.avg(F.col(target).cast("double")).alias("prevalence"))
 
 
+def shown_statistics(statistics: DataFrame) -> str:
+    """split_statistics() as lines to print, shares in per cent."""
+    lines = ["side      rows    groups  positive"]
+    for r in statistics.orderBy("side").collect():
+        share = "" if r.prevalence is None else f"{100 * r.prevalence:.2f} %"
+        lines.append(f"{r.side or '':8}{r.n_rows:>6}{r.n_groups:>10}{share:>10}")
+    return "\n".join(lines)
+
+
 def validate_split(df: DataFrame, group: str, temporal_date: str | None = None, n_rows: int | None = None) -> None:
     """No group on both sides; all rows kept if n_rows is given; train strictly before test if a date is given."""
     train, test = df.filter("side = 'train'"), df.filter("side = 'test'")

@@ -41,9 +41,16 @@ def run_preprocess(spark: SparkSession, folder: str, output: str, kind: str = "r
     train, test = train_test_pair(spark, folder, kind)
     numeric, categorical, binary = feature_types(train.drop(TARGET, *IDENTIFIERS))
     ready = Preprocessor(numeric, categorical, binary).fit(train)
+    columns = []
     for side, df in (("train", train), ("test", test)):
-        out = ready.transform(df, [*IDENTIFIERS, TARGET])
-        write_table(out, f"{output}/{side}_{kind}")
+        path = f"{output}/{side}_{kind}"
+        write_table(ready.transform(df, [*IDENTIFIERS, TARGET]), path)
+        out = spark.read.parquet(path)
+        if out.count() != df.count():
+            raise ValueError(f"The prepared {side} side has other rows than its source")
+        columns.append(out.columns)
+    if columns[0] != columns[1]:
+        raise ValueError("The prepared sides have other columns")
     ready.save(spark, f"{output}/preprocessor_{kind}")
     return ready
 

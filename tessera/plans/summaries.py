@@ -9,6 +9,7 @@ from ..operators import profile, synth
 from ..sources.tables import summary_rows, write_table
 
 #: The pairs of categories whose joint counts are published.
+#: Fixed: chosen pairs of columns.
 PAIRS = (("site", "organism_bug"), ("tfc", "prophylaxis_group"))
 PARTS = ("dataset", "missingness", "continuous", "categorical")
 

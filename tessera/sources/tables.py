@@ -9,38 +9,39 @@ import uuid
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import require_columns
-from ..functions.text import MISSING_CSV, null_if, without_missing_label
+from ..functions.text import MISSING_CSV, null_if
 from ..functions.values import lenient_timestamp
 
 
-def csv_text(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
+def csv_text(spark: SparkSession, path: str, columns: Iterable[str] | None = None, multiline: bool = False) -> DataFrame:
     """A CSV file with a header, every column as text, so that long identifiers keep their digits.
 
     Columns keep the file's order; with `columns` only these are read. Texts that stand for missing values are
-    null. Quotes inside quotes are doubled; values may hold line breaks.
+    null. Quotes inside quotes are doubled. Values may hold line breaks only if multiline is set: such a file is one
+    task, others are split.
     """
-    df = spark.read.options(header=True, escape='"', multiLine=True, inferSchema=False).csv(path)
+    df = spark.read.options(header=True, escape='"', multiLine=multiline, inferSchema=False).csv(path)
     if columns is not None:
         require_columns(df, columns)
         df = df.select(*columns)
     return df.select(*[null_if(F.col(f"`{c}`"), *MISSING_CSV).alias(c) for c in df.columns])
 
 
-def csv_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def csv_typed(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False) -> DataFrame:
     """A CSV file whose columns have the declared types; what does not fit is null."""
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = csv_text(spark, path, declared.fieldNames())
+    text = csv_text(spark, path, declared.fieldNames(), multiline)
     return text.select(*[lenient_timestamp(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in declared])
 
 
-def csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+def csv_inferred(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A CSV file whose types Spark infers; for exploration, as it reads the file twice."""
-    return spark.read.options(header=True, escape='"', multiLine=True, inferSchema=True, nullValue="").csv(path)
+    return spark.read.options(header=True, escape='"', multiLine=multiline, inferSchema=True, nullValue="").csv(path)
 
 
 def summary_rows(spark: SparkSession, path: str) -> list[dict[str, str]]:
@@ -48,19 +49,24 @@ def summary_rows(spark: SparkSession, path: str) -> list[dict[str, str]]:
     require_path(spark, path, "summary")
     rows = [r.asDict() for r in spark.read.options(header=True, escape='"').csv(path).collect()]
     if not rows:
-        raise ValueError(f"Summary file is empty: {path}")
+        raise ValueError(f"No rows in the summary {path}")
     return [{k: v or "" for k, v in r.items()} for r in rows]
 
 
 def workbook(spark: SparkSession, path: str, text_columns: Iterable[str] = ()) -> DataFrame:
-    """A small workbook through pandas, where its reader is installed; CSV and Parquet exports are read as they are."""
-    if path.endswith(".csv"):
-        return csv_text(spark, path)
+    """A workbook through pandas on the driver, where its reader is installed, or its CSV or Parquet export; small by its nature.
+
+    source_row counts the rows as a spreadsheet shows them: 2 is the first after the header.
+    """
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
+    if path.endswith(".csv"):
+        sheet = csv_text(spark, path, multiline=True)
+        return sheet.withColumn("source_row", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + 1)
     import pandas as pd
 
     sheet = pd.read_excel(path, dtype={c: "string" for c in text_columns})
+    sheet["source_row"] = range(2, len(sheet) + 2)
     return spark.createDataFrame(sheet.astype(object).where(sheet.notna(), None))
 
 
@@ -72,7 +78,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def require_path(spark: SparkSession, path: str, name: str) -> None:
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Required {name} file not found: {path}")
+        raise FileNotFoundError(f"There is no {name} file at {path}")
 
 
 def config_paths(config_path: str) -> dict[str, str]:
@@ -111,10 +117,15 @@ def bundle(spark: SparkSession, paths: dict[str, str], names: Iterable[str]) ->
 
 
 def train_test_pair(spark: SparkSession, folder: str, split: str = "random", target: str = "esbl_status") -> tuple[DataFrame, DataFrame]:
-    """(train, test) of a split; both have the target and the same set of columns."""
+    """(train, test) of a split, Parquet tables or CSV files; both have the target and the same set of columns."""
     if split not in ("random", "temporal"):
         raise ValueError("split is random or temporal")
-    train, test = (spark.read.parquet(f"{folder}/{side}_{split}") for side in ("train", "test"))
+
+    def side(name: str) -> DataFrame:
+        path = f"{folder}/{name}_{split}"
+        return csv_inferred(spark, f"{path}.csv") if path_exists(spark, f"{path}.csv") else spark.read.parquet(path)
+
+    train, test = side("train"), side("test")
     for df in (train, test):
         require_columns(df, [target])
     if set(train.columns) != set(test.columns):
@@ -127,6 +138,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, True)
     path = f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
@@ -157,10 +170,3 @@ def cohort_extract(source: DataFrame, cohort: DataFrame, subject: str = "subject
 def inline_table(spark: SparkSession, rows: list[tuple], columns: Iterable[str]) -> DataFrame:
     """A literal table of text columns."""
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
-
-
-def summary_value(c: str):
-    """A summary's category with its label for missing values back to null."""
-    return without_missing_label(F.col(c))
-
-

@@ -79,8 +79,10 @@ def test_cleaning_rules(spark):
     assert [(r.subject, r.medication_name_short, r.admission_medicine_y_n, r.gp_to_continue) for r in cleaned.collect()] == [("P002", "salbutamol", True, False)]
     with pytest.raises(ValueError, match="perhaps"):
         cleaning.clean_prescriptions(prescriptions.withColumn("gp_to_continue", F.lit("perhaps")))
-    with pytest.raises(ValueError, match="order_dt_tm"):
-        cleaning.clean_prescriptions(prescriptions.withColumn("order_dt_tm", F.lit("soon")))
+    soon = cleaning.clean_prescriptions(prescriptions.withColumn("order_dt_tm", F.lit("soon")))
+    assert soon.filter("order_dt_tm IS NULL").count() == soon.count() > 0 and tuple(cleaning.undated(soon).first()) == (soon.count(), soon.count())
+    for clean, rows in ((cleaning.clean_problems, problems), (cleaning.clean_diagnoses, diagnoses), (cleaning.clean_prescriptions, prescriptions)):
+        assert clean(rows.union(rows)).count() == clean(rows).count()
     with pytest.raises(ValueError, match="subject"):
         cleaning.clean_problems(problems.withColumn("subject", F.lit(" ")))
     with pytest.raises(ValueError, match="problem_code"):

@@ -34,7 +34,7 @@ def test_snomed_map(spark):
     ]
     found, repairs = cleaning.snomed_map(snomed_source(spark, rows))
     assert sorted(map(tuple, found.collect())) == [("congestive_heart_failure", "194781004"), ("dementia", "22298006"), ("renal_disease", "12237231000119107"), ("renal_disease", "194781004")]
-    assert [tuple(r) for r in repairs.collect()] == [("12237231000119100", "12237231000119107", "36712807", "repaired")]
+    assert [tuple(r) for r in repairs.collect()] == [("12237231000119100", "12237231000119107", "36712807", "repaired", None)]
 
 
 @pytest.mark.parametrize(
@@ -44,13 +44,13 @@ def test_snomed_map(spark):
         (("Dementia", "12237231000119100", "1", "a"), "requires concept"),
         (("Dementia", None, "1", "a"), "missing"),
         (("Dementia", "22298.0", "1", "a"), "6 to 18 digits"),
-        (("Nothing", "22298006", "1", "a"), "Unmapped"),
-        (("Dementia", "22298006", "1", " "), "names"),
-        (("Dementia", "194781004", "1", "a"), "overlaps"),
+        (("Nothing", "22298006", "1", "a"), "unknown conditions"),
+        (("Dementia", "22298006", "1", " "), "without a name"),
+        (("Dementia", "194781004", "1", "a"), "nobody reviewed"),
     ],
 )
 def test_snomed_errors(spark, row, said):
-    rows = [row] + ([("Renal disease", "194781004", "1", "a")] if said == "overlaps" else [])
+    rows = [row] + ([("Renal disease", "194781004", "1", "a")] if said == "nobody reviewed" else [])
     with pytest.raises(ValueError, match=said):
         cleaning.snomed_map(snomed_source(spark, rows))
 
@@ -63,7 +63,7 @@ def test_repairs_can_be_switched_off(spark):
 def test_icd_map(spark):
     raw = spark.createDataFrame([("Age", "x", "1"), ("Dementia", " f00 | F01.1|f00", "1"), ("AIDS/HIV", "B20", "6")], "category string, icd10_codes string, weights string")
     assert sorted(map(tuple, cleaning.icd_map(raw).collect())) == [("aids_hiv", "B20", 6), ("dementia", "F00", 1), ("dementia", "F011", 1)]
-    for bad, said in ((("Dementia", "F02", "2"), "weights"), (("Other", "F02", "1"), "Unmapped"), (("Dementia", "F02|", "1"), "prefix")):
+    for bad, said in ((("Dementia", "F02", "2"), "weights"), (("Other", "F02", "1"), "no label"), (("Dementia", "F02|", "1"), "Prefix")):
         with pytest.raises(ValueError, match=said):
             cleaning.icd_map(raw.union(spark.createDataFrame([bad], raw.schema)))
 
@@ -106,3 +106,22 @@ def test_reconcile(spark):
     df = spark.createDataFrame(rows, "icd_comorbidity array<string>, snomed_comorbidity array<string>, medication_comorbidity array<string>")
     got = mapping.reconcile(df).select("coding_conflict", "cci_condition").collect()
     assert [(r[0], r[1]) for r in got] == [(0, ["a", "b"]), (0, ["a"]), (0, ["b"]), (1, []), (0, ["m"]), (0, [])]
+
+
+def test_source_rows_are_told(spark):
+    """Messages and repairs name the row of the sheet; labels keep the order of the map where it has one."""
+    raw = snomed_source(spark, [("Dementia", "22298006", "1", "a"), ("Dementia", "22298007", "1", "b")]).withColumn("source_row", F.when(F.col("Concept Code") == "22298007", 3).otherwise(2))
+    with pytest.raises(ValueError, match="at row 3: .*check digit"):
+        cleaning.snomed_map(raw)
+    _, repairs = cleaning.snomed_map(snomed_source(spark, [("Dementia", "12237231000119100", "36712807", "a")]).withColumn("source_row", F.lit(2)))
+    assert [r.source_row for r in repairs.collect()] == [2]
+    codes = spark.createDataFrame([("k",), ("kk",), (None,)], "code string")
+    own = spark.createDataFrame([("k", "z", 1), ("k", "a", 2), ("k", "z", 3), ("kk", "b", 4)], "key string, label string, source_row int")
+    assert {r.code: r.labels for r in mapping.exact_labels(codes, "code", own, "key", "label", order="source_row").collect()} == {"k": ["z", "a"], "kk": ["b"]}
+    assert {r.code: r.labels for r in mapping.prefix_labels(codes, "code", own, "key", "label", "source_row").collect()} == {"k": ["z", "a"], "kk": ["z", "a", "b"]}
+    assert {r.code: r.labels for r in mapping.exact_labels(codes, "code", own, "key", "label").collect()} == {"k": ["a", "z"], "kk": ["b"]}
+
+
+def test_first_rows(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, 4, None)], "k string, at int, v string")
+    assert sorted(map(tuple, cleaning.first_by(rows, ["k"], ["at"]).collect()), key=str) == [("a", 1, "y"), (None, 4, None)]

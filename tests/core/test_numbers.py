@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, models, profile, ranks, split
+from tessera.operators import metrics, models, preprocess, profile, ranks, split
 from tessera.operators.preprocess import Imputer, Preprocessor, feature_types, features_and_target
 from tessera.plans import modelling, summaries
 
@@ -132,7 +132,7 @@ def test_ranking_metrics(spark):
 def test_imputer_finds_the_line(rows, table):
     own = Imputer(["x", "y", "z"]).fit(rows)
     assert set(own.lacking) == {"y", "z"}
-    got = rows.select("infection_id", *[e.alias(c) for c, e in own.imputed().items()]).toPandas().set_index("infection_id")
+    got = own.with_steps(rows).select("infection_id", *[e.alias(c) for c, e in own.imputed().items()]).toPandas().set_index("infection_id")
     want = table.set_index("infection_id")
     missing = want.y.isna()
     assert np.allclose(got.y[~missing], want.y[~missing])
@@ -140,6 +140,55 @@ def test_imputer_finds_the_line(rows, table):
     assert got.notna().all().all()
 
 
+def by_rows(x, rounds=10):
+    """The imputer row by row: each round fits each incomplete column on the rows that have it."""
+    lacks = np.isnan(x)
+    x = np.where(lacks, np.nanmean(x, axis=0), x)
+    order = sorted(np.flatnonzero(lacks.any(axis=0)), key=lambda j: lacks[:, j].sum())
+    for _ in range(rounds):
+        for j in order:
+            own, others = ~lacks[:, j], [i for i in range(x.shape[1]) if i != j]
+            a, b = x[own][:, others], x[own, j]
+            middle, mean = a.mean(axis=0), b.mean()
+            a, b = a - middle, b - mean
+            noise, weight, before = 1 / b.var(), 1.0, np.zeros(len(others))
+            for _ in range(300):
+                beta = np.linalg.solve(a.T @ a + weight / noise * np.eye(len(others)), a.T @ b)
+                s = np.linalg.eigvalsh(a.T @ a)
+                effective = (noise * s / (weight + noise * s)).sum()
+                weight = (effective + 2e-6) / (beta @ beta + 2e-6)
+                noise = (len(b) - effective + 2e-6) / (((b - a @ beta) ** 2).sum() + 2e-6)
+                if np.abs(beta - before).sum() < 1e-3:
+                    break
+                before = beta
+            beta = np.linalg.solve(a.T @ a + weight / noise * np.eye(len(others)), a.T @ b)
+            x[lacks[:, j], j] = (x[lacks[:, j]][:, others] - middle) @ beta + mean
+    return x
+
+
+@pytest.mark.parametrize("patterns", [64, 0])
+def test_imputer_by_rows(spark, monkeypatch, patterns):
+    """The same values as by rows, whether patterns have expressions of their own or go through the steps."""
+    monkeypatch.setattr(preprocess, "PATTERNS", patterns)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + [1, 2, 3, 4]
+    x[rng.random((200, 4)) < 0.15] = np.nan
+    x[:, 0] = np.where(np.isnan(x[:, 0]), 1.0, x[:, 0])
+    df = spark.createDataFrame([(k, *(None if np.isnan(v) else float(v) for v in r)) for k, r in enumerate(x)], "k int, a double, b double, c double, d double")
+    own = Imputer(["a", "b", "c", "d"]).fit(df)
+    got = own.with_steps(df).select("k", *[e.alias(c) for c, e in own.imputed().items()]).orderBy("k").toPandas()[["a", "b", "c", "d"]].to_numpy()
+    assert np.allclose(got, by_rows(x), atol=1e-6)
+
+
+def test_patterns_that_training_rows_do_not_have(spark):
+    """They go through the fitted steps, and are not just means."""
+    rows = [(float(k), 2.0 * k, 3.0 * k) for k in range(40)] + [(50.0, None, 150.0), (60.0, 120.0, None)]
+    own = Imputer(["a", "b", "c"]).fit(spark.createDataFrame(rows, "a double, b double, c double"))
+    new = spark.createDataFrame([(30.0, None, None)], "a double, b double, c double")
+    got = own.with_steps(new).select(*[e.alias(c) for c, e in own.imputed().items()]).first()
+    assert abs(got.b - 60) < 8 and abs(got.c - 90) < 12
+
+
 def test_preprocessor(spark, rows, table, tmp_path):
     features, target = features_and_target(rows)
     assert target.columns == ["esbl_status"]
@@ -232,3 +281,34 @@ def test_summaries_and_synthesis(spark, rows, table, tmp_path):
     assert auroc(made.esbl_status.to_numpy(), made.x.to_numpy()) > 0.65
     with pytest.raises(FileNotFoundError):
         summaries.generate(spark, f"{tmp_path}/s", f"{tmp_path}/c", f"{tmp_path}/none")
+
+
+def test_order_statistics_of_hot_and_large_parts(spark, monkeypatch):
+    """Exact quantiles, whatever fills a range, though no part may have more than a few rows in one task."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 5)
+    rng = np.random.default_rng(3)
+    values = {"few": rng.integers(0, 3, 900).astype(float), "many": rng.normal(size=900), "hot": np.where(rng.random(900) < 0.6, 7.0, rng.normal(size=900) + 7)}
+    long = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own] + [("none", None)], "variable string, value double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.777, 1.0]
+    got = ranks.quantiles(long, {**{k: 900 for k in values}, "none": 0}, shares)
+    for k, own in values.items():
+        assert np.allclose(got[k], np.quantile(own, shares))
+    assert got["none"] == [None] * 6
+
+
+def test_ranks_of_few_values(spark):
+    """A column of two values is dealt over ranges of the tie."""
+    rows = spark.createDataFrame([(k, k % 2) for k in range(1000)], "k long, v int")
+    got = {r.k: r.place for r in ranks.ranked(rows, "v", "k").collect()}
+    assert got == {k: (k // 2 + 1) + 500 * (k % 2) for k in range(1000)}
+
+
+def test_range_of_many_cuts(spark):
+    cuts = [float(k * k) for k in range(500)]
+    got = spark.range(2000).select("id", ranks.range_of(F.col("id").cast("double"), cuts).alias("r")).collect()
+    assert all(r.r == sum(c < r.id for c in cuts) for r in got)
+
+
+def test_shown_statistics(spark):
+    df = spark.createDataFrame([("train", 1, 1), ("train", 2, 0), ("test", 3, 1)], "side string, g int, y int")
+    assert split.shown_statistics(split.split_statistics(df, "g", "y")).splitlines()[2].split() == ["train", "2", "2", "50.00", "%"]

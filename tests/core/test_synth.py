@@ -14,7 +14,7 @@ def test_joint_cells_are_exact(spark):
     got = synth.exact_sample(spark, rows, ["a", "b"], ["u", "v"], 5, 1).collect()
     assert sorted(r.row_id for r in got) == [0, 1, 2, 3, 4]
     assert sorted(((r.u, r.v) for r in got), key=str) == sorted([("x", None)] * 3 + [("y", "q")] * 2, key=str)
-    with pytest.raises(ValueError, match="do not sum"):
+    with pytest.raises(ValueError, match="add up to"):
         synth.exact_sample(spark, rows, ["a", "b"], ["u", "v"], 6, 1)
 
 
@@ -47,16 +47,20 @@ def test_model_terms():
     for bad in (rows[:2], rows[2:], [*rows, {"variable": "Intercept", "coefficient": "1"}], [{"variable": "x"}]):
         with pytest.raises(ValueError):
             synth.model_terms(bad)
-    with pytest.raises(ValueError, match="cannot be mapped"):
+    with pytest.raises(ValueError, match="No column"):
         synth.linear_predictor(0.0, {"q": 1.0}, ["x"], {}, "y")
-    with pytest.raises(ValueError, match="own predictor"):
+    with pytest.raises(ValueError, match="predict itself"):
         synth.linear_predictor(0.0, {"y": 1.0}, ["x", "y"], {}, "y")
 
 
-def test_nearest_correlation():
+def test_correlation_factor():
     noisy = np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1]])
-    fixed = synth.nearest_correlation(noisy)
+    rows = synth.correlation_factor(noisy)
+    fixed = rows @ rows.T
     assert np.allclose(np.diag(fixed), 1) and np.linalg.eigvalsh(fixed).min() > -1e-9
+    valid = np.array([[1, 0.5, 0.2], [0.5, 1, -0.3], [0.2, -0.3, 1]])
+    rows = synth.correlation_factor(valid)
+    assert np.allclose(rows @ rows.T, valid)
 
 
 def test_subjects(spark):

@@ -10,12 +10,13 @@ from .test_episodes import EPISODES, sources
 
 def test_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,n,day,note\n0001234567890123456,1,2020-01-02,"a ""b"",\nc"\n0002,x,none,NA\n')
-    text = tables.csv_text(spark, f"{tmp_path}/t.csv", ["note", "id"])
+    text = tables.csv_text(spark, f"{tmp_path}/t.csv", ["note", "id"], multiline=True)
     assert [tuple(r) for r in text.collect()] == [('a "b",\nc', "0001234567890123456"), (None, "0002")]
-    typed = tables.csv_typed(spark, f"{tmp_path}/t.csv", "id string, n int, day timestamp_ntz").collect()
+    typed = tables.csv_typed(spark, f"{tmp_path}/t.csv", "id string, n int, day timestamp_ntz", multiline=True).collect()
     assert [(r.n, str(r.day)) for r in typed] == [(1, "2020-01-02 00:00:00"), (None, "None")]
-    assert tables.csv_inferred(spark, f"{tmp_path}/t.csv").count() == 2
-    assert tables.workbook(spark, f"{tmp_path}/t.csv").columns == ["id", "n", "day", "note"]
+    assert tables.csv_inferred(spark, f"{tmp_path}/t.csv", multiline=True).count() == 2
+    sheet = tables.workbook(spark, f"{tmp_path}/t.csv")
+    assert sheet.columns == ["id", "n", "day", "note", "source_row"] and sorted((r.source_row, r.id) for r in sheet.collect()) == [(2, "0001234567890123456"), (3, "0002")]
     with pytest.raises(ValueError, match="other"):
         tables.csv_text(spark, f"{tmp_path}/t.csv", ["other"])
 
@@ -24,7 +25,7 @@ def test_summary_rows(spark, tmp_path):
     (tmp_path / "s.csv").write_text("metric,value\nn_rows,3\nx,\n")
     (tmp_path / "empty.csv").write_text("metric,value\n")
     assert tables.summary_rows(spark, f"{tmp_path}/s.csv") == [{"metric": "n_rows", "value": "3"}, {"metric": "x", "value": ""}]
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="No rows"):
         tables.summary_rows(spark, f"{tmp_path}/empty.csv")
     with pytest.raises(FileNotFoundError):
         tables.summary_rows(spark, f"{tmp_path}/none.csv")
@@ -99,3 +100,10 @@ def test_command_line():
     assert (told.seed, told.start, told.end, told.pairs) == (2026, "2015-01-01", "2025-09-01", None)
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["split", "t", "o", "--kind", "other"])
+
+
+def test_pair_of_csv_files(spark, tmp_path):
+    (tmp_path / "train_random.csv").write_text("esbl_status,x\n1,2\n")
+    (tmp_path / "test_random.csv").write_text("x,esbl_status\n2,0\n")
+    train, test = tables.train_test_pair(spark, str(tmp_path))
+    assert train.columns == test.columns == ["esbl_status", "x"] and (train.first().esbl_status, test.first().x) == (1, 2)

@@ -52,9 +52,11 @@ def test_times_and_numbers(spark):
     assert sorted(days) == ["2020-01-01", "2020-01-02", "2020-01-03"]
 
 
-def test_dummy_terms():
-    assert text.dummy_term("site__a__b", ["site", "site__a"]) == ("site__a", "b")
-    assert text.dummy_term("other", ["site"]) is None
+def test_indicators():
+    assert text.indicator("site__a__b", ["site", "site__a"]) == ("site__a", "b")
+    assert text.indicator("site__a__b", ["site"]) == ("site", "a__b")
+    assert text.indicator("a___b", ["a"]) == ("a", "_b") and text.indicator("a___b", ["a_", "a"]) == ("a_", "b")
+    assert text.indicator("other", ["site"]) is None and text.indicator("__x", [""]) is None
 
 
 def test_checks(spark):
