@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a temporary one where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder, or a temporary one where none is set, in local mode only."""
     global _own_dir
     if set_dir := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _own_dir, True)
@@ -40,18 +43,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the shared folder, which cuts the lineage and outlives executors."""
+    """The rows of df as a table in the shared folder, which cuts the lineage and outlives executors.
+
+    It is deleted at the end of the scratch() around it, or else when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    if not _left:
+        atexit.register(_clear)
+    _left.append(out)
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_left: list[DataFrame] = []
+_scopes: list[list[DataFrame]] = []
+
+
+def _clear() -> None:
+    for table in [*_left]:
+        if table.sparkSession.sparkContext._jsc is not None:
+            discarded(table)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables written within, which nothing may read afterwards, but for those that kept() names."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            discarded(table)
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """Leaves a written table to the surrounding scope."""
+    _scopes[-1][:] = [t for t in _scopes[-1] if t is not table]
+    if len(_scopes) > 1:
+        _scopes[-2].append(table)
+    return table
+
+
 def discarded(table: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     spark, path = table.sparkSession, table._tessera_path
+    _left[:] = [t for t in _left if t is not table]
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
