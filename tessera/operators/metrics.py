@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import cut_points, ranges_for
+from ..sources.tables import stored
+from .ranks import cut_points
 
 
 def score_counts(df: DataFrame, target: str, score: str, keys: list[str]) -> DataFrame:
@@ -24,12 +25,15 @@ def ranking(df: DataFrame, target: str, score: str, keys: list[str] | None = Non
     ranges, so that no task orders all different scores.
     """
     keys = list(keys or [])
-    counts = score_counts(df, target, score, keys)
+    return ranked_counts(stored(score_counts(df, target, score, keys), "scores"), keys)
+
+
+def ranked_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """ranking() of score_counts()."""
     if not keys:
         counts = counts.withColumn("__all", F.lit(1))
     by = keys or ["__all"]
-    part = cut_points(df, [score], ranges_for(df.count()))[score].part(F.col("score").cast("double"))
-    counts = counts.withColumn("__part", part)
+    counts = counts.withColumn("__part", cut_points(counts, ["score"])["score"].part(F.col("score").cast("double")))
     ranges = counts.groupBy(*by, "__part").agg(F.sum("positives").alias("__p"), F.sum("negatives").alias("__n"))
     above = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*by, "__part"])], F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__fp"))
@@ -43,6 +47,14 @@ def ranking(df: DataFrame, target: str, score: str, keys: list[str] | None = Non
     return stepped.groupBy(*by).agg(F.when((p > 0) & (n > 0), area / (p * n)).alias("auroc"), F.when(p > 0, precision / p).alias("average_precision")).drop("__all")
 
 
+def quality_of(scored: DataFrame, target: str, score: str) -> DataFrame:
+    """One row (auroc, average_precision, brier) of ranking() and brier(), from counts of scores that are taken once."""
+    counts = stored(score_counts(scored, target, score, []), "scores")
+    rows = F.sum(F.col("positives") + F.col("negatives"))
+    squares = F.sum(F.col("positives") * F.pow(F.col("score") - 1, F.lit(2.0)) + F.col("negatives") * F.pow("score", F.lit(2.0)))
+    return ranked_counts(counts, []).crossJoin(counts.agg((squares / rows).alias("brier")))  # one row each
+
+
 def brier(target, score):
     """The mean squared difference, as an aggregate."""
     return F.avg(F.pow(score - target, F.lit(2.0)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .metrics import brier, ranking
+from .metrics import quality_of
 from .preprocess import Preprocessor
 
 SEED = 42
@@ -167,5 +167,5 @@ def cross_validated(df: DataFrame, folds: DataFrame, group: str, target: str, pr
 
 
 def quality(scored: DataFrame, target: str) -> dict[str, float | None]:
-    row = ranking(scored, target, "score").crossJoin(scored.agg(brier(F.col(target).cast("double"), F.col("score")).alias("b"))).first()  # one row each
-    return {"roc_auc": row.auroc, "average_precision": row.average_precision, "brier_score": row.b}
+    row = quality_of(scored, target, "score").first()
+    return {"roc_auc": row.auroc, "average_precision": row.average_precision, "brier_score": row.brier}

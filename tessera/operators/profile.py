@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import with_missing_label
 from ..sources.tables import stored
-from .ranks import cut_points, quantiles, ranges_for
+from .ranks import cut_points, quantiles
 
 #: Fixed: the quantiles of a summary, with their columns.
 QUANTILES = {"min": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "max": 1.0}
@@ -99,7 +99,7 @@ def view_ranks(df: DataFrame, columns: list[str], lacking: set[str]) -> tuple[Da
     views = [(c, None) for c in columns] + [(c, o) for o in sorted(lacking) for c in columns if c != o]
     value = {c: F.col(c).cast("double") for c in columns}
     numbered = stored(df.select(F.monotonically_increasing_id().alias("__row"), *[e.alias(c) for c, e in value.items()]), "rows")
-    cuts = cut_points(numbered, columns, ranges_for(numbered.count()))
+    cuts = cut_points(numbered, columns)
     parted = numbered.withColumns({f"__part_{k}": cuts[c].part(F.col(c)) for k, c in enumerate(columns)})
     own = []
     for k, (c, o) in enumerate(views):

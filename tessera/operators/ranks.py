@@ -48,17 +48,18 @@ def placed(df: DataFrame, keys: list[str], part: Column, order: list) -> DataFra
     return out.select(*df.columns, "place", F.col("size").cast("long").alias("size"))
 
 
-def ranges_for(rows: int) -> int:
-    return max(RANGES, min(RANGES_MOST, rows // RANGE_ROWS))
-
-
 def cut_points(df: DataFrame, columns: list[str], ranges: int = RANGES) -> dict[str, Cuts]:
-    """Cuts of each column, from approximate quantiles; all that the driver sees of the values."""
+    """Cuts of each column, from approximate quantiles; all that the driver sees of the values.
+
+    One pass; a second one, for more ranges, if there are too many rows for so few.
+    """
     share = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), share, F.lit(4 * ranges)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(c).cast("double"), share, F.lit(4 * ranges)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    if (more := min(RANGES_MOST, found.n // RANGE_ROWS)) > 2 * ranges:
+        return cut_points(df, columns, more)
     out = {}
     for k, c in enumerate(columns):
-        own = found[k] or []
+        own = found[f"c{k}"] or []
         out[c] = Cuts(tuple(sorted(set(own))), tuple(sorted({a for a, b in zip(own, own[1:]) if a == b})))
     return out
 
@@ -86,8 +87,7 @@ def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
     is a number, so that no task sorts all rows of a column of few values.
     """
     number = dict(df.dtypes)[tie] in ("bigint", "int", "smallint", "tinyint", "double", "float")
-    ranges = ranges_for(df.count())
-    cuts = cut_points(df, [value, *([tie] if number and tie != value else [])], ranges)
+    cuts = cut_points(df, [value, *([tie] if number and tie != value else [])])
     part = cuts[value].part(F.col(value)).cast("long") * (2 * RANGES_MOST + 2)
     if tie in cuts and tie != value and cuts[value].heavy:
         part = part + F.when(F.col(value).isin(*cuts[value].heavy), cuts[tie].part(F.col(tie))).otherwise(0)
@@ -105,7 +105,7 @@ def order_statistics(long: DataFrame, wanted: dict[str, list[int]]) -> dict[tupl
     rows = long
     while todo:
         wide = rows.select(*[F.when(F.col("variable") == v, F.col("value")).alias(f"v{i}") for i, v in enumerate(todo)])
-        cuts = dict(zip(todo, cut_points(wide, wide.columns, RANGES).values()))
+        cuts = dict(zip(todo, cut_points(wide, wide.columns).values()))
         part = F.lit(None).cast("int")
         for v, own in cuts.items():
             part = F.when(F.col("variable") == v, own.part(F.col("value"))).otherwise(part)

@@ -133,16 +133,21 @@ def train_test_pair(spark: SparkSession, folder: str, split: str = "random", tar
     return train, test.select(train.columns)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the session's checkpoint folder, or a temporary one where none is set; cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, or a temporary one where none is set, which only a local session may use."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, True)
-    path = f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows of df as a table in shared_folder(); cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
