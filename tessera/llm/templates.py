@@ -114,16 +114,17 @@ def without_templates(docs: DataFrame, depth: int = 3, constant_share: float = 0
     digest = F.xxhash64(F.coalesce(text_col, F.lit("")))
     rows = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("id"), F.col(text_col).alias("text"))
     dropped = recurring_lines(rows, depth, constant_share, min_docs, keep_first)
-    own_id, own_digest, gone = (fresh(docs, f"dropped_{c}") for c in ("id", "digest", "lines"))
+    own_id, own_digest, gone, lines = (fresh(docs, c) for c in ("dropped_id", "dropped_digest", "dropped_lines", "split_lines"))
     dropped = dropped.select(F.col("id.id").alias(own_id), F.col("id.digest").alias(own_digest), F.col("dropped").alias(gone))
     same = (F.col(f"`{id_col}`") == F.col(own_id)) & (digest == F.col(own_digest))
     out = docs.join(dropped.hint("merge"), same, "left").drop(own_id, own_digest)
-    split = F.split(F.col(text_col), "\n")
+    out = out.withColumn(lines, F.split(F.col(text_col), "\n"))  # a column, so that it is not split again for each line
+    split = F.col(lines)
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))  # by a hash set, in order
     kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     n_lines = F.size(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n_dropped = F.coalesce(F.size(F.col(gone)), F.lit(0))
-    return out.withColumn(name, F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"))).drop(gone)
+    return out.withColumn(name, F.struct(kept.alias("kept_text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"))).drop(gone, lines)
 
 
 def lines_query(docs: DataFrame) -> DataFrame:
