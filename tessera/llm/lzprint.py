@@ -85,14 +85,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def range_cuts(rows: DataFrame) -> list[tuple]:
     """The lowest key of each range but the first, for keys (named, id, digest): ranges of about RANGE_DOCS rows, RANGES of them at most.
 
-    The bounds are quantiles of a sample: the keys of smallest hashes, SAMPLE for each range.
+    The bounds are quantiles of a sample: the keys whose hashes are below a bound, about SAMPLE for each range.
     """
     n = rows.count()
     ranges = max(1, min(RANGES, n // RANGE_DOCS))
     if ranges == 1:
         return []
-    least = rows.select("key", F.xxhash64("key", F.lit(5)).alias("h")).orderBy("h").limit(SAMPLE * ranges)
-    own = sorted({tuple(r.key) for r in least.select("key").collect()}, key=order_of)
+    below = int(min(1.0, SAMPLE * ranges / n) * (1 << 31))
+    some = rows.select("key").filter(F.shiftrightunsigned(F.xxhash64("key", F.lit(5)), 33) < below).distinct()
+    own = sorted((tuple(r.key) for r in some.collect()), key=order_of)
+    if not own:
+        return []
     return sorted({own[k * len(own) // ranges] for k in range(1, ranges)}, key=order_of)
 
 
