@@ -39,22 +39,24 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col:
     A rule fits a URL if its host is the URL's host or a parent domain and its path starts the URL's path. The
     rule of most characters wins; of equal ones the longer host, then block, then the greater text. Without a
     rule the verdict is `otherwise`. Null and malformed URLs have empty host and path; repeated rows are kept;
-    rules with a null field are ignored. Other columns of pages are not read.
+    rules with a null field are ignored; empty tables give empty ones. Other columns of pages are not read.
 
-    Different URLs are expanded once, so a hot URL costs no more than any other. Rules are broadcast up to
-    BROADCAST_RULES of them. The driver holds the lengths of rule paths, of which there are no more than the
-    longest path has characters.
+    Different URLs are expanded once, so a hot URL costs no more than any other, and only into as many labels and path
+    characters as rules have, so a long one neither. Rules are broadcast up to BROADCAST_RULES of them. The driver
+    holds the different numbers of labels and of path characters of rules.
     """
     rules = rules.dropna().select("action", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
     rules = rules.withColumn("digest", F.sha2(F.concat("rule_host", "rule_path").cast("binary"), 256))
     rules = rules.withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
+    sizes = rules.select(F.length("rule_path").alias("path"), F.size(F.split("rule_host", r"\.")).alias("labels"))
+    told = sizes.agg(F.collect_set("path").alias("path"), F.collect_set("labels").alias("labels")).first()
+    lengths, depths = sorted(told.path), sorted(told.labels)
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
     urls = pages.select(F.col(url_col).alias("url")).filter(F.col(url_col).isNotNull()).distinct()
     host, path = host_and_path(F.col("url"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(F.array(*map(F.lit, depths)), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     expanded = urls.select("url", host.alias("host"), path.alias("path")).select("url", F.explode(pairs).alias("expression")) if lengths else None

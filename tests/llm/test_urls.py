@@ -44,3 +44,10 @@ def test_empty_tables(spark):
     rules = spark.createDataFrame([], "action string, host string, path string")
     page = spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string")
     assert tuple(urls.judged(page, rules).first()) == (1, "com", "/en/", None, "allow")
+
+
+def test_very_long_urls(spark):
+    """A host of many labels and a path of many parts: only prefixes of the rules' lengths are looked up."""
+    rows = [(1, "http://" + "a." * 20_000 + "com/en/" + "x/" * 50_000), (2, "http://org/es/" + "y" * 200_000), (2, "http://org/es/" + "y" * 200_000), (None, "x" * 300_000)]
+    got = urls.rules_query(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *brute(u, RULES)) for i, u in rows), key=str)
