@@ -116,3 +116,14 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(odd, mix)
     with pytest.raises(ValueError):
         mixing.mixed_rows(frame(spark, odd, "doc_id long, source string, text string"), Mix())
+
+
+def test_very_long_text_and_clashing_names(spark):
+    """A text that is many blocks' worth, in a table whose columns are called like the operator's own."""
+    rows = [(1, "s", "w " * 300_000, 1, 2, 3), (2, "s", "a b", 1, 2, 3), (3, "t", "c " * 50, 1, 2, 3), (4, None, None, 1, 2, 3)]
+    docs = frame(spark, rows, "doc_id long, source string, text string, tokens long, block long, turn long")
+    mix = Mix(max_repeats=1.25)
+    got = mixing.mixed_rows(docs, mix)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in brute([(d, s, t) for d, s, t, *_ in rows], mix))
+    assert mixing.mixed_rows(docs.limit(0), mix).count() == 0

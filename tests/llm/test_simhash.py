@@ -99,3 +99,11 @@ def test_similar_texts_are_linked(spark):
     import corpus_pipeline
 
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, frame(spark, rows), "").collect()) == [0, 2, 3]
+
+
+def test_clashing_names(spark):
+    """Columns that the operator has itself are not read and do not disturb it."""
+    docs = frame(spark, [(1, "a b c d e", 2, 3, 4), (2, "a b c d e", 2, 3, 4)], "doc_id long, text string, fp long, bucket long, row_key long")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (2, 1)]
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e", 2, 3, 4)]
