@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of values that a ranking is dealt over: so many at least and at most, of about so many rows.
 RANGES, RANGES_MOST, RANGE_ROWS = 64, 4_096, 1_000_000
-#: Cut points up to which a range is found by a tree of comparisons, not by halving an array.
-TREE = 128
+#: Cut points up to which a range is found by a tree of comparisons, not by halving an array: larger trees are too much code to compile.
+TREE = 8
 
 
 @dataclass(frozen=True)
