@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import synth
 from tessera.plans import catalog
 from tessera.streaming import first
@@ -71,6 +72,15 @@ def test_subjects(spark):
         synth.subjects(rows, 51, 50, 1)
 
 
+def test_ids_beyond_their_digits_stay_different(spark):
+    """Above 999,999 subjects and 9,999,999 rows the numbers are longer than the padding."""
+    numbers = spark.createDataFrame([(k,) for k in (1, 999_999, 1_000_000, 1_000_001, 10_000_000, 10_000_001)], "n long")
+    got = [r.id for r in numbers.orderBy("n").select(text.whole_id("SYN-P", F.col("n"), 6).alias("id")).collect()]
+    assert got == ["SYN-P000001", "SYN-P999999", "SYN-P1000000", "SYN-P1000001", "SYN-P10000000", "SYN-P10000001"]
+    rows = spark.range(1_000_020).withColumnRenamed("id", "row_id")
+    assert synth.subjects(rows, 1_000_010, 1_000_020, 1).agg(F.count_distinct("subject")).first()[0] == 1_000_010
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("u", "a", "2020-01-01 00:00:01"), ("u", "a", "2020-01-01 00:00:00"), ("v", "b", "2020-01-01 01:00:00"), (None, "b", "2020-01-01 01:00:00")], "user string, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     events.repartition(3).write.parquet(f"{tmp_path}/in")
