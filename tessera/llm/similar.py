@@ -5,8 +5,10 @@ edited word changes five shingles. It changes one word. Each different text ther
 different words, which stay within the radius of a similar text's; these emit their balls (see simhash.py), and what
 collides is a candidate. A 64-bit fingerprint of the shingles travels with each and drops what is far from similar.
 Of a bucket's candidates a few spanning forests of the nearest pairs stay, and each text's pairs with the texts that
-most others are near to, as edited copies of one text are closer to it than to each other. A large group so costs as
-much as its texts and not as their pairs; the sets of shingles then decide.
+most others are near to, as edited copies of one text are closer to it than to each other; the sets of shingles then
+decide. Texts of which a candidate did not stay are marked: where such texts of a bucket are not all connected by then,
+every pair of them that is not connected is decided by its sets too, within a task that returns links only. A large
+group so costs as much as its texts, but for the comparisons.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FORESTS, HUBS = 2, 3
 HUB_RADIUS = 11
 #: Candidate pairs in memory before all but the forests are dropped.
 PAIRS_AT_ONCE = 1_000_000
+#: Shingles of the texts that a task compares with each other; larger groups are cut into blocks, and each pair of blocks meets.
+SHINGLES_AT_ONCE = 8_000_000
 
 
 def majority(hashes: np.ndarray) -> np.ndarray:
@@ -119,11 +123,11 @@ def joined_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Kept:
-    """The candidate pairs of n nodes that stay so far: FORESTS edge-disjoint forests and HUBS of each node, whatever the number of pairs."""
+    """The candidate pairs of n nodes that stay so far: FORESTS edge-disjoint forests and HUBS of each node, whatever the number of pairs; `cut` has the nodes of the others."""
 
     def __init__(self, check: np.ndarray):
         self.check, self.pairs, self.far, self.waiting = check, np.empty(0, np.int64), np.empty(0, np.int8), 0
-        self.degree = np.zeros(len(check), np.int64)
+        self.degree, self.cut = np.zeros(len(check), np.int64), np.zeros(len(check), bool)
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -149,6 +153,7 @@ class Kept:
         order = np.lexsort((-self.degree[other], own))
         place = np.arange(len(own)) - np.searchsorted(own[order], own[order])
         kept[order[place < HUBS] % max(1, len(pairs))] = True
+        self.cut[pairs[~kept] // n] = self.cut[pairs[~kept] % n] = True
         self.pairs, self.far = pairs[kept], far[kept]
 
 
@@ -188,8 +193,8 @@ def print_pairs(prints: np.ndarray, rests: np.ndarray, low: int) -> Iterator[tup
         step += 1
 
 
-def bucket_pairs(prints: np.ndarray, rests: np.ndarray, check: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the nearest candidates of one bucket."""
+def bucket_candidates(prints: np.ndarray, rests: np.ndarray, check: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the nearest candidates of one bucket, and the places that have candidates beside these."""
     order = np.lexsort((check, prints))
     own, start, size = np.unique(prints[order], return_index=True, return_counts=True)
     kept = Kept(check[order])
@@ -203,6 +208,7 @@ def bucket_pairs(prints: np.ndarray, rests: np.ndarray, check: np.ndarray, low:
             group = np.repeat(np.arange(len(size)), size)
             alone = np.zeros(len(size), bool)
             alone[group[root != root[start][group]]] = True
+            kept.cut |= (~alone & (size > k))[group]
             size = np.where(alone, size, np.minimum(size, k))  # all of them are near each other already
     size = np.diff(np.append(start, len(order)))
     for x, y in print_pairs(own, rests[order][start], low):
@@ -213,7 +219,12 @@ def bucket_pairs(prints: np.ndarray, rests: np.ndarray, check: np.ndarray, low:
                 wide = np.repeat(size[y[part]], each[part])
                 kept.add(np.repeat(start[x[part]], each[part]) + i // wide, np.repeat(start[y[part]], each[part]) + i % wide)
     kept.thin()
-    return order[kept.pairs // len(order)], order[kept.pairs % len(order)]
+    return order[kept.pairs // len(order)], order[kept.pairs % len(order)], order[kept.cut]
+
+
+def bucket_pairs(prints: np.ndarray, rests: np.ndarray, check: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest candidates of one bucket."""
+    return bucket_candidates(prints, rests, check, low)[:2]
 
 
 def ramps(sizes: np.ndarray) -> np.ndarray:
@@ -222,23 +233,33 @@ def ramps(sizes: np.ndarray) -> np.ndarray:
 
 
 def solved(rows: DataFrame, low: int) -> DataFrame:
-    """(u, v, far) of the candidates in each bucket of rows (part, bucket, fp, rest, check, node)."""
+    """(u, v, far) of the candidates in each bucket of rows (part, bucket, fp, rest, check, node); a node that has others beside these comes as u with its bucket."""
 
     def step(table: pa.Table) -> pa.Table:
         prints, check, node = (table.column(c).to_numpy() for c in ("fp", "check", "node"))
         check = check.view(np.uint64)
-        x, y = bucket_pairs(prints.view(np.uint64), table.column("rest").to_numpy(), check, low)
+        x, y, cut = bucket_candidates(prints.view(np.uint64), table.column("rest").to_numpy(), check, low)
         u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        return pa.table({"u": u, "v": v, "far": np.bitwise_count(check[x] ^ check[y]).astype(np.int32)})
+        pairs = pa.table({"u": u, "v": v, "far": np.bitwise_count(check[x] ^ check[y]).astype(np.int32), "bucket": pa.nulls(len(u), pa.string())})
+        name = f"{table.column('part')[0].as_py()} {low} {table.column('bucket')[0].as_py()}"
+        return pa.concat_tables([pairs, pa.table({"u": node[cut], "v": pa.nulls(len(cut), pa.int64()), "far": pa.nulls(len(cut), pa.int32()), "bucket": pa.array([name] * len(cut), pa.string())})])
+
+    return rows.groupBy("part", "bucket").applyInArrow(step, "u long, v long, far int, bucket string")
 
-    return rows.groupBy("part", "bucket").applyInArrow(step, "u long, v long, far int")
 
+def block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """rows of many blocks, whose number `blocks` has, with own, the block that `key` falls in, and block, each pair of blocks that own is in."""
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    own = rows.withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")))
+    pairs = F.transform(others, lambda k: F.greatest("own", k) * F.col("blocks") + F.least("own", k))
+    return own.withColumn("block", F.explode(pairs))
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(u, v, far), u < v, each once: near pairs of texts (node, check, prints) whose balls meet.
+
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, far), u < v, each once: near pairs of texts (node, check, prints) whose balls meet; (node, bucket) of those with further ones.
 
     Buckets hold at most simhash.VARIANTS_MOST variants; larger ones are dealt out over more bits. What still has
-    one variant and too many texts is cut by hash into blocks, each with the smallest text, which joins them.
+    one variant and too many texts is cut by hash into blocks, and each pair of blocks is a bucket.
     """
     half = RADIUS // 2
     rows = texts.select("node", "check", F.posexplode("prints").alias("part", "fp"))
@@ -249,7 +270,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     found, on = [], ["part", "bucket"]
     while True:
         low = PRINT_BITS - depth
-        heavy = rows.groupBy(*on).agg(F.sum(weight(low, half)).alias("variants"), F.min("node").alias("hub")).filter(F.col("variants") > simhash.VARIANTS_MOST)
+        heavy = rows.groupBy(*on).agg(F.sum(weight(low, half)).alias("variants")).filter(F.col("variants") > simhash.VARIANTS_MOST)
         heavy = written(heavy, "heavy")
         if heavy.isEmpty():
             found.append(solved(rows, low))
@@ -261,14 +282,15 @@ def candidates(texts: DataFrame) -> DataFrame:
             rows = deal(crowd, depth, more, half, PRINT_BITS)
             depth += more
             continue
-        blocks = F.ceil(F.col("variants") / (simhash.VARIANTS_MOST // 2))
-        dealt = rows.join(heavy, on).withColumn("block", F.explode(F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks)))))
+        blocks = F.ceil(F.col("variants") / (simhash.VARIANTS_MOST // 2)).cast("long")
+        dealt = block_pairs(rows.join(heavy.withColumn("blocks", blocks), on), "node")
         found.append(solved(dealt.withColumn("bucket", F.xxhash64("bucket", "block")).select(rows.columns), low))
         break
     out = found[0]
     for more_found in found[1:]:
         out = out.unionByName(more_found)
-    return written(out.distinct(), "candidates")
+    out = written(out, "found")
+    return written(out.filter("v IS NOT NULL").select("u", "v", "far").distinct(), "candidates"), out.filter("v IS NULL").select(F.col("u").alias("node"), "bucket")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -283,13 +305,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(near.select(F.col("content_u").alias("u"), F.col("content_v").alias("v")), "similar")
 
 
+def set_links(check: np.ndarray, root: np.ndarray, block: np.ndarray, size: np.ndarray, shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of at least the similarity that connect nodes of different roots as all such links do; shingles has the sets one after the other.
+
+    Nodes of two blocks are compared across these only.
+    """
+    n, start = len(size), np.cumsum(size) - size
+    _, known, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    mark = np.zeros(len(times), bool)
+    label, across = np.unique(root, return_inverse=True)[1], block.min() != block.max()
+    u, v = [], []
+    for k in range(n - 1):
+        far = np.bitwise_count(check[k] ^ check[k + 1 :])
+        small, large = np.minimum(size[k], size[k + 1 :]), np.maximum(size[k], size[k + 1 :])
+        asked = (far <= CHECK_RADIUS) & (label[k + 1 :] != label[k]) & (small >= similarity * large)
+        if across:
+            asked &= block[k + 1 :] != block[k]
+        others = np.flatnonzero(asked) + k + 1
+        mark[known[start[k] : start[k] + size[k]]] = True
+        for some in np.array_split(others, int(size[others].sum()) // PAIRS_AT_ONCE + 1) if len(others) else []:
+            if len(some):
+                hits = mark[known[np.repeat(start[some], size[some]) + ramps(size[some])]]
+                both = np.add.reduceat(hits, np.cumsum(size[some]) - size[some], dtype=np.int64)
+                near = some[both >= (size[k] + size[some] - both) * similarity]
+                for at in near[np.unique(label[near], return_index=True)[1]]:
+                    if label[at] != label[k]:
+                        u.append(k)
+                        v.append(at)
+                        label[label == label[at]] = label[k]
+        mark[known[start[k] : start[k] + size[k]]] = False
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def further_links(cut: DataFrame, roots: DataFrame, named: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of contents among the texts of cut (node, bucket) that are in one bucket and have different roots (own, root), by all pairs.
+
+    Buckets that share texts are one group, so that a text is compared once; held has (node, content, shingles).
+    """
+    members = cut.join(roots, F.col("node") == F.col("own")).select("node", "bucket", "root")
+    unsettled = members.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("node").alias("hub")).filter("first <> last")
+    told = written(members.join(unsettled.select("bucket", "hub"), "bucket").select("node", "hub", "root").distinct(), "unsettled")
+    group = components(told.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()).withColumnRenamed("root", "group")
+    rows = told.select("node", "root").distinct().join(group, "node", "left").withColumn("group", F.coalesce("group", "node")).join(held, "node").join(named.select("node", "check"), "node")
+    rows = written(rows.select("node", "group", "root", "content", "check", "shingles"), "members")
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(SHINGLES_AT_ONCE // 2)).cast("long").alias("blocks"))
+    dealt = block_pairs(rows.join(sizes.withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)), "group"), "node")
+
+    def step(table: pa.Table) -> pa.Table:
+        sets = table.column("shingles").combine_chunks()
+        check, root, block = (table.column(c).to_numpy() for c in ("check", "root", "own"))
+        x, y = set_links(check.view(np.uint64), root, block, sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy(), similarity)
+        content = table.column("content")
+        return pa.table({"u": content.take(pa.array(x)), "v": content.take(pa.array(y))})
+
+    return written(dealt.groupBy("group", "block").applyInArrow(step, "u string, v string"), "further")
+
+
 def similar_links(texts: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) of contents of at least that similarity, which connect what the candidates connect.
 
     texts has (key, text), named has (key, content, node, check, prints), each content once. The nearest candidate of
-    each text is verified first; of the others only those between texts that are not connected by then.
+    each text is verified first; of the others only those between texts that are not connected by then, and at last the
+    pairs that are not among the candidates kept.
     """
-    found = candidates(named.filter("prints IS NOT NULL").select("node", "check", "prints"))
+    found, cut = candidates(named.filter("prints IS NOT NULL").select("node", "check", "prints"))
     asked = written(found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(named, "node").select("key", "content", "node"), "asked")
 
     def sets(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
@@ -303,13 +382,17 @@ def similar_links(texts: DataFrame, named: DataFrame, similarity: float) -> Data
     nearest = either.groupBy("own").agg(F.min_by("other", F.struct("far", "other")).alias("other"))
     nearest = written(nearest.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v")).distinct(), "nearest")
     links = verified(nearest, held, similarity)
-    reached = components(links).withColumnRenamed("node", "content")
-    roots = written(asked.join(reached, "content", "left").select(F.col("node").alias("own"), F.coalesce("root", "content").alias("root")), "roots")
+
+    def named_roots(reached: DataFrame) -> DataFrame:
+        return written(asked.join(reached.withColumnRenamed("node", "content"), "content", "left").select(F.col("node").alias("own"), F.coalesce("root", "content").alias("root")), "roots")
+
+    roots = named_roots(components(links))
     rest = found.join(nearest, ["u", "v"], "left_anti")
     for side in ("u", "v"):
         rest = rest.join(roots.select(F.col("own").alias(side), F.col("root").alias(f"root_{side}")), side)
     rest = written(rest.filter("root_u <> root_v").select("u", "v").distinct(), "rest")
-    return links.unionByName(verified(rest, held, similarity))
+    links = links.unionByName(verified(rest, held, similarity))
+    return links.unionByName(further_links(cut, named_roots(components(links)), named, held, similarity))
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

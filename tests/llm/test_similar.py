@@ -98,6 +98,28 @@ def test_pairs_in_memory_are_thinned(monkeypatch):
     assert len(x) < 300 * (similar.FORESTS + similar.HUBS)
 
 
+def test_no_link_goes_with_the_candidates_that_do_not_stay(spark, monkeypatch):
+    """With hardly any candidates kept the same texts stay as with all of them, in one block or many."""
+    rows = near_group(random.Random(7), 90) + near_group(random.Random(8), 60, 20_000)
+    monkeypatch.setattr(similar, "FORESTS", 200)
+    whole = kept(spark, rows)
+    monkeypatch.setattr(similar, "FORESTS", 1)
+    monkeypatch.setattr(similar, "HUBS", 0)
+    assert kept(spark, rows) == whole
+    monkeypatch.setattr(similar, "SHINGLES_AT_ONCE", 4_000)
+    assert kept(spark, rows) == whole
+
+
+def test_links_of_sets():
+    """Different roots are connected as by all pairs, whatever the number of pairs at once; two blocks across only."""
+    sets = [[1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 5, 7], [9], [9], [20, 21]]
+    size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+    told = lambda root, block: sorted(zip(*map(np.ndarray.tolist, similar.set_links(np.zeros(6, np.uint64), np.array(root), np.array(block), size, flat, 0.8))))
+    assert told(range(6), [0] * 6) == [(0, 2), (3, 4)]
+    assert told([0, 1, 0, 3, 4, 5], [0] * 6) == [(3, 4)]
+    assert told(range(6), [0, 0, 0, 0, 1, 1]) == [(3, 4)]
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     docs = frame(spark, [(None, text, 1), (4, None, 2), (2, "", 3), (4, None, 2), (9, text.upper(), 4), (None, "zz yy", 5), (7, "zz  yy", 6), (None, "only one", 7)], "doc_id long, text string, row_key long")
