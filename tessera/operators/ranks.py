@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 RANGES, RANGES_MOST, RANGE_ROWS = 64, 4_096, 1_000_000
 #: Cut points up to which a range is found by a tree of comparisons, not by halving an array: larger trees are too much code to compile.
 TREE = 8
+#: Parts of a ranking by an even share; steps that values are counted by, and rows of a step that the driver sorts at most.
+EVEN_PARTS, STEPS, STEP_ROWS = 1_024, 16_384, 50_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,63 @@ def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
     return placed(df.withColumn("__all", F.lit(1)), ["__all"], part, [value, tie]).drop("__all")
 
 
+def ranked_evenly(df: DataFrame, share: Column, order: list[str]) -> DataFrame:
+    """df with `place`, the rank from 1 by order, and `size`; share is about even from 0 to 1 and grows with the order.
+
+    The parts of the ranking follow from the share itself; the driver sees the number of rows of each.
+    """
+    rows = df.withColumn("__part", F.floor(share * F.lit(EVEN_PARTS)).cast("int"))
+    before, sums = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("__part").count().collect())):
+        sums.append((part, before))
+        before += n
+    known = df.sparkSession.createDataFrame(sums, "__part int, __before long")
+    within = rows.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    out = within.join(F.broadcast(known), "__part").withColumn("place", (F.col("__before") + F.col("__within")).cast("long"))
+    return out.select(*df.columns, "place", F.lit(before).cast("long").alias("size"))
+
+
+def bounds(df: DataFrame, value: str, tie: str, places: list[int]) -> dict[int, tuple[float, int]]:
+    """{place: (value, tie)} of the rows at these places, counted from 1, by (value, tie): a finite double and a whole number.
+
+    Rows are counted by steps of the range of values; steps with many rows are divided again, those of one value by
+    the tie. The driver sees counts of steps and the rows of the steps asked for, at most STEP_ROWS of each.
+    """
+    if not places:
+        return {}
+    told = df.agg(F.min(value), F.max(value), F.min(tie), F.max(tie)).first()
+    low, high, column = told[0], told[1], value
+    if low == high:
+        low, high, column = told[2], told[3], tie
+        if low == high:
+            return {p: (told[0], low) for p in places}
+    wide = (float(high) - float(low)) / STEPS or 1.0
+    step = F.floor((F.col(column).cast("double") - F.lit(float(low))) / F.lit(wide)).cast("long")
+    stepped = df.withColumn("__step", step)
+    before, at, out = 0, {}, {}
+    for k, n in sorted(map(tuple, stepped.groupBy("__step").count().collect())):
+        if own := [p for p in places if before < p <= before + n]:
+            at[k] = (before, n, own)
+        before += n
+    small = [k for k, (_, n, _) in at.items() if n <= STEP_ROWS]
+    rows: dict[int, list[tuple]] = {}
+    for r in stepped.filter(F.col("__step").isin(*small)).select("__step", value, tie).collect() if small else []:
+        rows.setdefault(r[0], []).append((r[1], r[2]))
+    for k, (first, _, own) in at.items():
+        if k in rows:
+            held = sorted(rows[k])
+            out |= {p: held[p - first - 1] for p in own}
+        else:
+            deeper = bounds(stepped.filter(F.col("__step") == k).drop("__step"), value, tie, [p - first for p in own])
+            out |= {p + first: x for p, x in deeper.items()}
+    return out
+
+
+def up_to(value: Column, tie: Column, bound: tuple[float, int]) -> Column:
+    """Whether a row comes no later than the bound by (value, tie)."""
+    return (value < F.lit(bound[0])) | ((value == F.lit(bound[0])) & (tie <= F.lit(bound[1])))
+
+
 def order_statistics(long: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
     """{(variable, place): value} of the places, counted from 0, among the non-null values of (variable, value).
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import synth
+from tessera.operators import ranks, synth
 from tessera.plans import catalog
 from tessera.streaming import first
 
@@ -81,6 +81,26 @@ def test_ids_beyond_their_digits_stay_different(spark):
     assert synth.subjects(rows, 1_000_010, 1_000_020, 1).agg(F.count_distinct("subject")).first()[0] == 1_000_010
 
 
+def test_bounds_and_even_ranks(spark, monkeypatch):
+    """Places are exact for heavy values, far outliers and few rows a step; ranks follow the order."""
+    monkeypatch.setattr(ranks, "STEP_ROWS", 5)
+    monkeypatch.setattr(ranks, "STEPS", 4)
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(rng.normal()), 2.0, 1e12 * (k % 7 == 0)][k % 3]) for k in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, x double")
+    want = sorted((x, k) for k, x in rows)
+    assert ranks.bounds(df, "x", "row_id", [1, 2, 77, 150, 299, 300]) == {p: want[p - 1] for p in (1, 2, 77, 150, 299, 300)}
+    got = ranks.ranked_evenly(df, 1 / (1 + F.exp(-F.col("x"))), ["x", "row_id"]).collect()
+    assert {r.place: (r.x, r.row_id) for r in got} == dict(enumerate(want, 1)) and {r.size for r in got} == {300}
+
+
+def test_categories_by_bounds_are_exact(spark):
+    counts = [{"category": "a", "count": "30"}, {"category": "__MISSING__", "count": "50"}, {"category": "none", "count": "0"}, {"category": "b", "count": "20"}]
+    rows = spark.range(100).withColumnRenamed("id", "row_id")
+    got = rows.select(*synth.category_columns(rows, counts, ["category"], ["c"], 5)).groupBy("c").count().collect()
+    assert {r.c: r["count"] for r in got} == {"a": 30, None: 50, "b": 20}
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("u", "a", "2020-01-01 00:00:01"), ("u", "a", "2020-01-01 00:00:00"), ("v", "b", "2020-01-01 01:00:00"), (None, "b", "2020-01-01 01:00:00")], "user string, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     events.repartition(3).write.parquet(f"{tmp_path}/in")
